@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "substring_dedup",
     "minhash",
+    "toxicity",
 )
 
 
