@@ -8,6 +8,8 @@ MODULES = (
     "substring_dedup",
     "minhash",
     "toxicity",
+    "bpe",
+    "mixing",
 )
 
 
