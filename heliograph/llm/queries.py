@@ -10,6 +10,10 @@ MODULES = (
     "toxicity",
     "bpe",
     "mixing",
+    "language_id",
+    "ann",
+    "topk",
+    "url_filter",
 )
 
 
