@@ -25,8 +25,8 @@ from heliograph.llm import common as C
 
 NS = (5, 6, 7)
 FEATURES = 1_500
-SAMPLE = 12_000
-SAMPLE_BYTES = 32_768
+SAMPLE = 6_000
+SAMPLE_BYTES = 16_384
 L2 = 1.0
 
 
@@ -64,14 +64,13 @@ def train(texts: pa.Array, labels: np.ndarray, features: int = FEATURES) -> Mode
         p = (y.sum() + 0.5) / (len(y) + 2)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
     size = len(NS) << G.BITS
-    docs, found = [], []
-    for lo in range(0, len(texts), 500):
-        d, f = G.present(texts.slice(lo, 500), NS)
-        docs.append((d + lo).astype(np.int32))
-        found.append(f.astype(np.int32))
-    doc, feature = np.concatenate(docs), np.concatenate(found)
-    toxic = np.bincount(feature, y[doc], size)
-    other = np.bincount(feature, minlength=size) - toxic
+    toxic, every = np.zeros(size), np.zeros(size)
+    slices = [(lo, texts.slice(lo, 50)) for lo in range(0, len(texts), 50)]
+    for lo, part in slices:
+        d, f = G.present(part, NS)
+        toxic += np.bincount(f, y[d + lo], size)
+        every += np.bincount(f, minlength=size)
+    other = every - toxic
     n1, n0 = y.sum(), len(y) - y.sum()
     p, q = (toxic + 1) / (n1 + 2), (other + 1) / (n0 + 2)
     both = (toxic + other + 2) / (len(y) + 4)
@@ -82,10 +81,14 @@ def train(texts: pa.Array, labels: np.ndarray, features: int = FEATURES) -> Mode
     chosen = chosen[gain[chosen] > 2]
     r = np.log(((toxic + 1) / (toxic.sum() + size)) / ((other + 1) / (other.sum() + size)))[chosen]
     r -= np.median(r) if len(r) else 0
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[feature] >= 0
-    doc, feature = doc[keep], place[feature[keep]]
+    docs, found = [], []
+    for lo, part in slices:  # a second pass over the sample, for the chosen n-grams alone
+        d, f = G.present(part, NS, place)
+        docs.append(d + lo)
+        found.append(f)
+    doc, feature = np.concatenate(docs), np.concatenate(found)
     order = np.argsort(feature, kind="stable")
     by_doc, by_feature, feature_of = doc[order], feature, feature[order]
     bounds = np.searchsorted(feature_of, np.arange(len(chosen)))
