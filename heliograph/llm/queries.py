@@ -14,6 +14,7 @@ MODULES = (
     "ann",
     "topk",
     "url_filter",
+    "license_scan",
 )
 
 
