@@ -274,6 +274,19 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_mapped(path, pattern, finish), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_rows(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and round_trip (whether the ids decode to the text) of every row of docs."""
+
+    def finish(e, b, ids):
+        sizes = np.array([0, *[len(x) // 4 for x in ids]])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        same = [e.decode(x) == (t or "").encode() for x, t in zip(ids, b.column(1).to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sizes[1:], pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+    return rows.mapInArrow(_mapped(path, pattern, finish), "doc_id long, lang string, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the installed public vocabulary."""
     import public_tokenizers

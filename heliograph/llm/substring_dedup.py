@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.llm import common as C
 
@@ -244,7 +245,7 @@ def _finish(window: int, groups: int, texts: bool):
 SPANS = pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32())]))
 
 
-def _run(docs: DataFrame, window: int, texts: bool, schema: str) -> DataFrame:
+def _run(docs: DataFrame, window: int, texts: bool, schema: str | T.StructType) -> DataFrame:
     groups = C.parts(docs.select("doc_id", "text"), PACK_BYTES)
     by = docs.withColumn("_pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).groupBy("_pack")
     probes = by.applyInArrow(_probe(window, groups), PROBES)
@@ -268,7 +269,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     rest = F.struct(F.lit(0).alias("_"), *[docs[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(others)])
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    done = _run(slim, window, True, f"doc_id long, text string, rest {slim.schema['rest'].dataType.simpleString()}, n_removed long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rest", slim.schema["rest"].dataType), T.StructField("n_removed", T.LongType())])
+    done = _run(slim, window, True, schema)
     place = {f.name: F.col(f"rest.c{i}") for i, f in enumerate(others)}
     if "n_chars" in place:
         place["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(place["n_chars"]).cast(docs.schema["n_chars"].dataType)
