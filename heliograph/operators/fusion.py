@@ -73,7 +73,7 @@ def route(queries: DataFrame, index: LexicalIndex | None = None, lexical: float
     quoted, identifier = text.rlike(QUOTED), text.rlike(IDENTIFIER)
     rare = F.round(F.coalesce("best", F.lit(0.0)), 9) >= rare_idf
     question = text.rlike(QUESTION) & (F.size(T.content_tokens(text)) >= long_terms)
-    reason = F.when(quoted, "quoted phrase").when(identifier, "identifier").when(rare, F.concat(F.lit("rare term (idf "), F.format_number("best", "0.0"), F.lit(")"))).when(question, "long natural-language question").otherwise("balanced")
+    reason = F.when(quoted, "quoted phrase").when(identifier, "identifier").when(rare, F.format_string("rare term (idf %.1f)", "best")).when(question, "long natural-language question").otherwise("balanced")
     return q.select("query_id", F.when(quoted | identifier | rare, lexical).otherwise(1.0).alias("w_bm25"), F.when(~(quoted | identifier | rare) & question, semantic).otherwise(1.0).alias("w_vector"), reason.alias("reason"))
 
 
