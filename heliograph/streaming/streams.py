@@ -28,9 +28,14 @@ def postings(documents: DataFrame, analyzer: str = "english") -> DataFrame:
     return LexicalIndex.build(documents, analyzer).postings()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs time zones; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Tumbling (or sliding) counts and sums by event type: start, event_type, n, total."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _timed(events, late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = e.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
@@ -38,7 +43,7 @@ def windows(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions by user: user_id, start, end, n."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _timed(events, late)
     out = e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -52,7 +57,7 @@ def live_entries(entries: DataFrame, now: Column, ttl_seconds: float | None) ->
 
 def fresh_queries(queries: DataFrame, ttl: str) -> DataFrame:
     """A stream of queries without repeats within the time to live."""
-    return queries.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["query"])
+    return _timed(queries, ttl).dropDuplicatesWithinWatermark(["query"])
 
 
 def answer_tokens(answers: DataFrame) -> DataFrame:
