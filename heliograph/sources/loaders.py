@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def text_files(spark: SparkSession, path: str, kinds: str = "*.{txt,md,rst}") -> DataFrame:
     """doc_id (the file's stem), text, metadata(source, title): one row per file, folders searched through."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", kinds).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=kinds)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return files.select(stem.alias("doc_id"), F.col("value").alias("text"), F.create_map(F.lit("source"), F.col("_metadata.file_path"), F.lit("title"), stem).alias("metadata"))
