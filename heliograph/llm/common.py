@@ -125,9 +125,13 @@ def window_mask(first: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a relation; no job runs."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    """The stored size of a table with a text column: the scan's own where the rows come straight from files, else measured."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() == 1 and len(df.inputFiles()):
+        size = int(str(plan.stats().sizeInBytes()))
+        if size < 1 << 60:
+            return size
+    return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
 def parts(df: DataFrame, bytes_each: int, least: int = 12) -> int:
