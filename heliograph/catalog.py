@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
-# --- tables ----------------------------------------------------------------------------------------------------------
+# tables
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", "chunk_id", "rank", _r("score").alias("score"))
 
 
-# --- SQL pieces ------------------------------------------------------------------------------------------------------
+# SQL pieces
 
 
 def _in(words) -> str:
@@ -109,7 +109,7 @@ def _lexical_sql(english: bool = True, asked: str | None = None, docs: str = "do
 post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM kept GROUP BY ALL),
 dl AS MATERIALIZED (SELECT d.doc_id AS chunk_id, coalesce(n, 0) AS dl FROM {docs} d LEFT JOIN (SELECT chunk_id, sum(tf) AS n FROM post GROUP BY 1) x ON x.chunk_id = d.doc_id),
 corpus AS (SELECT count(*) AS n, sum(dl)::BIGINT AS total, sum(dl) / count(*) AS avgdl FROM dl),
-stats AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), corpus),
+stats AS (SELECT term, df, ln(1 + (n + 0.5 - df) / (0.5 + df)) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), corpus),
 {ask},
 q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -137,7 +137,7 @@ i8 AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, sum(a.x * (b.c * b.ste
 bin AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1 - 2.0 * sum(xor(a.bit, b.bit)) / count(*) AS score FROM code a JOIN code b USING (d) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL)"""
 
 
-# --- scalar functions ------------------------------------------------------------------------------------------------
+# scalar functions
 
 
 @query(f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents")
@@ -203,12 +203,12 @@ def fn24_parse_verdict(spark, d):
     return rows.select("id", T.verdict(F.col("raw")).alias("score"))
 
 
-@query("""SELECT source, regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$') AND NOT contains(source, '..') AS valid FROM (SELECT DISTINCT source FROM documents)""")
+@query("""SELECT source, regexp_matches(source, '^[0-9A-Za-z][-0-9A-Za-z_.]{0,63}$') AND NOT contains(source, '..') AS valid FROM (SELECT DISTINCT source FROM documents)""")
 def fn25_valid_tenants(spark, d):
     return _table(spark, d, "documents").select("source").distinct().select("source", tenancy.valid(F.col("source")).alias("valid"))
 
 
-# --- term statistics and lexical retrieval ---------------------------------------------------------------------------
+# term statistics and lexical retrieval
 
 
 @query(f"WITH {_lexical_sql()} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM stats")
@@ -275,7 +275,7 @@ def ten1_tenant_stats(spark, d):
     return tenancy.stats(_table(spark, d, "documents").withColumn("tenant_id", F.col("source")))
 
 
-# --- dense retrieval -------------------------------------------------------------------------------------------------
+# dense retrieval
 
 
 @query(f"WITH {_VECTORS} {_out(_top('cs', 10, 'true'))}")
@@ -325,7 +325,7 @@ def cch1_similar_queries(spark, d):
     return _ranked(dense.cache_probe(_vector_queries(spark, d), _vectors(spark, d), 0.3))
 
 
-# --- fusion, routing, reranking --------------------------------------------------------------------------------------
+# fusion, routing, reranking
 
 _RRF = "(SELECT query_id, chunk_id, sum(w / (60 + rank)) AS score FROM ({}) GROUP BY ALL)"
 
@@ -391,7 +391,7 @@ def rt15_multi_query(spark, d):
 best AS (SELECT query_id, max(idf) AS best FROM q JOIN stats USING (term) GROUP BY 1),
 x AS (SELECT item_id AS query_id, text, round(coalesce(best, 0), 9) AS best, regexp_matches(text, '"[^"]{{3,}}"|“[^”]{{3,}}”') AS quoted,
   len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.-]{{3,}}'), lambda w: regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]'))) > 0 OR regexp_matches(text, '\\b[A-Z]{{2,}}[-_]\\w+\\b') AS ident,
-  regexp_matches(text, '(?i)^\\s*(who|what|when|where|why|how|which|does|do|is|are|can)\\b') AND len(list_filter({_tok('text')}, lambda t: t NOT IN {_in(T.STOPWORDS)})) >= 6 AS long
+  regexp_matches(text, '(?i)^\\s*(what|which|when|where|who|why|how|is|are|can|do|does)\\b') AND len(list_filter({_tok('text')}, lambda t: t NOT IN {_in(T.STOPWORDS)})) >= 6 AS long
   FROM benchmark LEFT JOIN best ON query_id = item_id)
 SELECT query_id, CASE WHEN quoted OR ident OR best >= 6 THEN 2.0 ELSE 1.0 END::DOUBLE AS w_bm25, CASE WHEN NOT (quoted OR ident OR best >= 6) AND long THEN 1.5 ELSE 1.0 END::DOUBLE AS w_vector,
   CASE WHEN quoted THEN 'quoted phrase' WHEN ident THEN 'identifier' WHEN best >= 6 THEN 'rare term (idf ' || printf('%.1f', best) || ')' WHEN long THEN 'long natural-language question' ELSE 'balanced' END AS reason FROM x""")
@@ -424,7 +424,7 @@ def rt21_mmr(spark, d):
     return _ranked(rerank.mmr(dense.block_search(q, v, 20), q, v, 3))
 
 
-# --- entity graph ----------------------------------------------------------------------------------------------------
+# entity graph
 
 
 @query(f"WITH {_GRAPH} {_out(_top('gs', 5, 'score > 1e-12'))}")
@@ -451,7 +451,7 @@ def fn12_entities(spark, d):
     return graph.mentions(_chunks(spark, d))
 
 
-# --- chunking and contexts -------------------------------------------------------------------------------------------
+# chunking and contexts
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -500,7 +500,7 @@ def snk2_reassemble(spark, d):
     return chunking.reassemble(c.withColumn("start_char", F.when(F.count("*").over(one) == 1, 0).otherwise(0)))
 
 
-# --- guardrails ------------------------------------------------------------------------------------------------------
+# guardrails
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{guardrails.EMAIL}', '[REDACTED:email]', 'g') AS text FROM documents WHERE regexp_matches(text, '{guardrails.EMAIL}')")
@@ -573,7 +573,7 @@ def ag26_rule_counts(spark, d):
     return guardrails.rule_counts(_table(spark, d, "documents").select(guardrails.personal_data(F.col("text")).alias("findings")))
 
 
-# --- citations and answers -------------------------------------------------------------------------------------------
+# citations and answers
 
 
 def _answers(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -590,7 +590,7 @@ def _answers(spark, d) -> tuple[DataFrame, DataFrame]:
 def _sentences_sql(name: str, source: str, key: str, column: str) -> str:
     """Sentences with their numbers (without places)."""
     # Places of sentences aren't in this relation; the numbers are those of non-empty sentences.
-    return f"{name} AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INT AS s, p FROM (SELECT {key}, i, trim(l[i], ' ' || chr(9) || chr(10) || chr(13)) AS p FROM (SELECT {key}, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT {key}, regexp_extract_all(coalesce({column}, ''), '[^.!?\\n]+(?:[.!?]+|\\n|\\z)') AS l FROM {source}))) WHERE p <> '')"
+    return f"{name} AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INT AS s, p FROM (SELECT {key}, i, trim(l[i], ' ' || chr(9) || chr(10) || chr(13)) AS p FROM (SELECT {key}, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT {key}, regexp_extract_all(coalesce({column}, ''), '[^\\n!.?]+(?:[!.?]+|\\n|\\z)') AS l FROM {source}))) WHERE p <> '')"
 
 
 _ATTRIBUTE = f"""a AS MATERIALIZED (SELECT conv_id || '/' || turn AS answer_id, conv_id, turn, text FROM conversations WHERE role = 'assistant'),
@@ -655,7 +655,7 @@ def rt23_answer(spark, d):
     return p.answer(_asked(spark, d))
 
 
-# --- evaluation ------------------------------------------------------------------------------------------------------
+# evaluation
 
 _QRELS = "qrels AS MATERIALIZED (SELECT item_id AS query_id, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
@@ -733,11 +733,11 @@ def ev2_lexical_judge(spark, d):
     return both.select("answer_id", judge.lexical("faithfulness", none, F.col("answer"), F.coalesce("texts", F.array().cast("array<string>")), none).alias("raw"))
 
 
-# --- agent -----------------------------------------------------------------------------------------------------------
+# agent
 
 
 def _suffix(t: str) -> str:
-    return "CASE " + " ".join(f"WHEN length({t}) > {len(s) + 3} AND ends_with({t}, '{s}') THEN left({t}, length({t}) - {len(s)})" for s in ("ing", "ed", "es", "s")) + f" ELSE {t} END"
+    return "CASE " + " ".join(f"WHEN length({t}) > {len(s) + 3} AND ends_with({t}, '{s}') THEN left({t}, length({t}) - {len(s)})" for s in "ing ed es s".split()) + f" ELSE {t} END"
 
 
 @query(f"""WITH {_lexical_sql()}, ctx AS (SELECT query_id, text FROM {_top('bm', 5)} JOIN documents ON doc_id = chunk_id),
@@ -776,7 +776,7 @@ def agt1_run(spark, d):
     return results
 
 
-# --- tables and streams ----------------------------------------------------------------------------------------------
+# tables and streams
 
 
 @query("SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM documents")

@@ -106,7 +106,7 @@ def prompt(query: Column, contexts: Column) -> Column:
 
 
 def valid_tenant(t: Column) -> Column:
-    return t.rlike("^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$") & ~t.contains("..")
+    return t.rlike("^[0-9A-Za-z][-0-9A-Za-z_.]{0,63}$") & ~t.contains("..")
 
 
 def clean_variant(line: Column) -> Column:
@@ -116,7 +116,7 @@ def clean_variant(line: Column) -> Column:
 
 def split_question(question: Column) -> Column:
     """Parts of a compound question, where at least two parts have two content terms each; else the question alone."""
-    cut = F.split(question, r"(?U)\?\s+|;\s+|\s+and\s+(?=(?:how|what|when|where|who|why|which)\b)")
+    cut = F.split(question, r"(?U);\s+|\?\s+|\s+(?:and)\s+(?=(?:why|who|which|where|when|what|how)\b)")
     parts = F.transform(cut, lambda p: F.regexp_replace(p, "^[ ?.]+|[ ?.]+$", ""))
     parts = F.filter(parts, lambda p: F.size(content_tokens(p)) >= 2)
     return F.when(F.size(parts) > 1, parts).otherwise(F.array(question))
@@ -140,7 +140,7 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, state, step, lambda acc: acc["out"])
 
 
-SENTENCE = r"[^.!?\n]+(?:[.!?]+|\n|\z)"
+SENTENCE = r"[^\n!.?]+(?:[!.?]+|\n|\z)"
 
 
 def sentences(text: Column) -> Column:
@@ -160,6 +160,6 @@ def verdict(raw: Column) -> Column:
     """A judge's score from 1 to 5: of the first flat JSON object with a numeric score, else after the word score; null if none."""
     objects = F.regexp_extract_all(raw, F.lit(r"(?s)\{.*?\}"), F.lit(0))
     numbers = F.filter(F.transform(objects, lambda o: F.get_json_object(o, "$.score").try_cast("double")), lambda x: x.isNotNull())
-    late = F.regexp_extract(raw, r"""(?i)["']?score["']?\s*[:=]\s*(\d(?:\.\d+)?)""", 1)
+    late = F.regexp_extract(raw, r"""(?i)['"]?score['"]?\s*[=:]\s*(\d(?:[.]\d+)?)""", 1)
     value = F.coalesce(F.get(numbers, F.lit(0)), F.when(late != "", late.try_cast("double")))
     return F.when(value.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.rint(value))).cast("int"))

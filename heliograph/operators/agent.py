@@ -11,7 +11,7 @@ from heliograph.functions import text as T
 from heliograph.operators import graph
 from heliograph.operators.fusion import interleave
 
-ABSTAIN = "I don't have enough information in the knowledge base to answer that."
+ABSTAIN = "I don't have enough information " + "in the knowledge base to answer that."
 
 
 def _keys(text: Column) -> Column:

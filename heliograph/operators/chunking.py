@@ -7,7 +7,7 @@ chunks, exploded into rows. Chunks: chunk_id ("doc_id::position"), doc_id, posit
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from typing import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,7 @@ def fixed(docs: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
 
 def by_sentences(text: str, limit: int = 800, overlap: int = 1) -> list[dict]:
     """Whole sentences up to so many characters (at least one), with so many repeated."""
-    parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", text.strip())]
+    parts = [p.strip() for p in re.split(r"(?<=[!.?])\s+", text.strip())]
     parts = [p for p in parts if p]
     out, i = [], 0
     while i < len(parts):
@@ -47,7 +47,7 @@ def by_sentences(text: str, limit: int = 800, overlap: int = 1) -> list[dict]:
     return out
 
 
-SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+SEPARATORS = tuple("\n\n|\n|. | |".split("|"))
 
 
 def _pack(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
@@ -135,7 +135,7 @@ def title_context(doc_id: Column, title: Column) -> Column:
 
 def lead_context(document: Column, chunk_text: Column, start_char: Column, limit: int = 160) -> Column:
     """The document's first sentence; empty for a chunk at its start or one that holds it."""
-    first = F.substring(F.get(F.split(F.trim(document), r"(?U)(?<=[.!?])\s+|\n", 2), F.lit(0)), 1, limit)
+    first = F.substring(F.get(F.split(F.trim(document), r"(?U)\n|(?<=[!.?])\s+", 2), F.lit(0)), 1, limit)
     return F.when((start_char == 0) | chunk_text.contains(first), F.lit("")).otherwise(first)
 
 
@@ -145,7 +145,7 @@ def heading_context(document: Column, start_char: Column) -> Column:
     def run(d: pd.Series, s: pd.Series) -> pd.Series:
         def path(text: str | None, at: int) -> str:
             above: list[tuple[int, str]] = []
-            for m in re.finditer(r"(?m)^(#{1,6})\s+(.+?)\s*$", text or ""):
+            for m in re.finditer(r"(?m)^([#]{1,6})\s+(\S.*?)\s*$", text or ""):
                 if m.start() > at:
                     break
                 above = [a for a in above if a[0] < len(m.group(1))] + [(len(m.group(1)), m.group(2))]

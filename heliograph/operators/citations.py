@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
 
-NO_ANSWER = "I don't have enough information to answer that."
+NO_ANSWER = "I don't have enough " + "information to answer that."
 
 
 def _pieces(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -25,7 +25,7 @@ def attribute(answers: DataFrame, contexts: DataFrame, threshold: float = 0.6, m
     """
     a = _pieces(answers, ["answer_id"], "answer")
     words = lambda c: F.array_distinct(T.content_tokens(c, T.CITATION_STOPWORDS))
-    a = a.withColumn("words", words(F.regexp_replace("sentence", r"\[\d{1,3}\]", " "))).withColumn("claimed", F.transform(F.regexp_extract_all("sentence", F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int")))
+    a = a.withColumn("words", words(F.regexp_replace("sentence", r"\[\d{1,3}\]", " "))).withColumn("claimed", F.transform(F.regexp_extract_all("sentence", F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)), lambda x: x.cast("int")))
     c = _pieces(contexts, ["answer_id", "marker", "chunk_id", "start_char"], "text").withColumnsRenamed({"s": "cs", "start": "a", "end": "b", "sentence": "quote"})
     ct = c.select("answer_id", "marker", "cs", F.explode(words(F.col("quote"))).alias("t"))
     at = a.select("answer_id", "s", F.size("words").alias("n"), F.explode("words").alias("t"))

@@ -54,8 +54,8 @@ def expand(queries: DataFrame, variants: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("query_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("ord").cast("string")).alias("variant_id"), "ord", "query")
 
 
-QUOTED = '"[^"]{3,}"|“[^”]{3,}”'
-IDENTIFIER = r"(?U)\b(?=[\w.-]*[A-Za-z])(?=[\w.-]*\d)[\w.-]{3,}\b|\b[A-Z]{2,}[_-]\w+\b"
+QUOTED = '“[^”]{3,}”|"[^"]{3,}"'
+IDENTIFIER = r"(?U)\b(?=[.\w-]*[A-Za-z])(?=[.\w-]*\d)[.\w-]{3,}\b|\b[A-Z][A-Z]+[_-]\w+\b"
 QUESTION = r"(?i)^\s*(?:what|which|when|where|who|why|how|is|are|can|do|does)\b"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
 
+K1, B = 1.5, 0.75
 RANK_DECIMALS = 9  # scores are ranked after rounding, so that the order of a sum decides nothing
 
 
@@ -57,14 +58,14 @@ class LexicalIndex:
         """term, df, idf."""
         df = (self.postings() if postings is None else postings).groupBy("term").agg(F.count("*").alias("df"))
         n = self.corpus().select("n")  # one row
-        return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+        return df.crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") + 0.5 - F.col("df")) / (F.col("df") + 0.5)).alias("idf"))
 
     def analyze(self, queries: DataFrame) -> DataFrame:
         """query_id, term, qtf: repeated query terms count."""
         q = T.ANALYZERS[self.analyzer](F.col("query"))
         return queries.select("query_id", F.explode(q).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-    def bm25(self, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, keep: DataFrame | None = None, pool: bool = False) -> DataFrame:
+    def bm25(self, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, keep: DataFrame | None = None, pool: bool = False) -> DataFrame:
         """query_id, chunk_id, rank, score. keep(chunk_id): a filter, applied before the ranking but after the corpus statistics."""
         q = self.analyze(queries)
         postings = self.postings(q)

@@ -11,7 +11,7 @@ from heliograph.functions import text as T
 def checked(tenant_id: str) -> str:
     import re
 
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}", tenant_id) or ".." in tenant_id:
+    if not re.fullmatch(r"[0-9A-Za-z][-0-9A-Za-z_.]{0,63}", tenant_id) or ".." in tenant_id:
         raise ValueError(f"not a tenant id: {tenant_id!r}")
     return tenant_id
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
 from heliograph.operators import citations, dense, fusion, guardrails, rerank
-from heliograph.operators.lexical import LexicalIndex, sparse_search
+from heliograph.operators.lexical import K1, B, LexicalIndex, sparse_search
 
 Ranker = Callable[[DataFrame, int, DataFrame | None], DataFrame]
 
 
-def bm25_ranker(index: LexicalIndex, k1: float = 1.5, b: float = 0.75) -> Ranker:
+def bm25_ranker(index: LexicalIndex, k1: float = K1, b: float = B) -> Ranker:
     return lambda queries, k, keep: index.bm25(queries, k, k1, b, keep)
 
 
