@@ -57,7 +57,7 @@ def test_against_sql(spark, name):
     assert same(queries.queries()[name](spark, DIR), queries.oracle_sql()[name], DIR)
 
 
-# --- substring dedup -------------------------------------------------------------------------------------------------
+# substring dedup
 
 
 def removed(rows, width):
@@ -93,7 +93,7 @@ def test_substring_dedup(spark, odd_docs, width):
     assert substring_dedup.dedup(odd_docs.filter("false"), width).count() == 0
 
 
-# --- near-duplicates -------------------------------------------------------------------------------------------------
+# near-duplicates
 
 
 def classes(rows, width, per_cent):
@@ -153,7 +153,7 @@ def test_sketches_merge_and_estimate():
     assert abs(at[0] - true) < 0.15
 
 
-# --- mixing ----------------------------------------------------------------------------------------------------------
+# mixing
 
 
 def fair(sizes, weights=(3, 1, 2)):
@@ -209,7 +209,7 @@ def test_mixing_is_native_and_permutes(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-# --- classifiers -----------------------------------------------------------------------------------------------------
+# classifiers
 
 
 def test_toxicity_held_out(spark):
@@ -259,7 +259,7 @@ def test_language_cases(spark, odd_docs):
     assert three.predict(pa.array(["the dog", "und die", "het huis en", "le chat et"]))[0] == ["en", "de", "nl", "fr"]
 
 
-# --- license scan ----------------------------------------------------------------------------------------------------
+# license scan
 
 
 def test_license_base_against_words(spark, odd_docs):
@@ -301,7 +301,7 @@ def test_license_rules():
         assert keyword == keyword.lower() and re.compile(pattern)
 
 
-# --- vectors ---------------------------------------------------------------------------------------------------------
+# vectors
 
 
 def vectors(spark, n=150, dims=6, seed=2):
@@ -350,7 +350,7 @@ def test_bit_sliced_topk(spark, monkeypatch):
     assert [r.vec_id for r in topk.search(tied.filter("id = 3"), tied, 5).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
 
 
-# --- urls ------------------------------------------------------------------------------------------------------------
+# urls
 
 
 def by_hand(url):
@@ -399,7 +399,7 @@ def test_mined_rules_against_counting(spark):
         assert best.get(i) == (max(fit) if fit else None)
 
 
-# --- byte-level BPE --------------------------------------------------------------------------------------------------
+# byte-level BPE
 
 
 def test_bpe_is_the_library_s(spark, odd_docs):
@@ -428,7 +428,7 @@ def test_bpe_is_the_library_s(spark, odd_docs):
     assert bpe.digests(odd_docs.filter("false"), path, pattern).count() == 0
 
 
-# --- the pipeline ----------------------------------------------------------------------------------------------------
+# the pipeline
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
