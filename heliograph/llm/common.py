@@ -163,6 +163,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, keep: Column, n: int) -> DataFrame:
+    """The n rows of the smallest hashes of doc_id among those that keep lets through.
+
+    Rows beyond a hash bound that leaves about twice as many are dropped where they are read, so no task receives more
+    than a few times n rows however many there are; the bound is widened until n rows pass or all are in.
+    """
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    total, share = rows.count(), 0.0
+    while True:
+        share = min(1.0, share * 4 or 2 * n / max(total, 1))
+        near = rows.filter((h < int(share * (1 << 32))) & keep)
+        if share >= 1 or near.count() >= n:
+            return near.orderBy(h, *rows.columns).limit(n)
+
+
 def chunks(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text each (one text is never divided), to bound memory."""
     i = batch.schema.get_field_index(column)

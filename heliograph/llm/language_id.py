@@ -174,8 +174,8 @@ def train(texts: pa.Array, langs: list[str], families: dict[str, str] = FAMILIES
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on rows of docs(doc_id, text, lang) whose crc32(doc_id) modulo 3 isn't 1."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    d = d.filter((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & F.col("text").rlike(r"\p{L}"))
-    rows = d.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "lang").toArrow().combine_chunks()
+    keep = (F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & F.col("text").rlike(r"\p{L}")
+    rows = C.bounded_sample(d, keep, sample).select("text", "lang").toArrow().combine_chunks()
     if not rows.num_rows:
         return train(pa.array([], pa.string()), [])
     return train(rows["text"].combine_chunks(), rows["lang"].to_pylist())
