@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     known = labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     if held_out:
         known = known.filter(F.crc32(F.col("doc_id").cast("string")) % held_out != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = C.bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), F.lit(True), sample)
     text = F.col("text").cast("string")
     found = docs.select(doc_id.alias("doc_id"), text.alias("text")).filter((F.octet_length("text") <= sample_bytes) & F.col("text").isNotNull())
     rows = found.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "toxic").toArrow().combine_chunks()
