@@ -6,7 +6,7 @@ import numpy as np
 
 from heliograph.llm import common as C
 
-BITS = 19
+BITS = 20
 # Bytes as the n-grams see them: A-Z lower-cased, everything else of ASCII but letters a space (digits a 0).
 CLASS = np.full(256, 0x20, np.uint8)
 CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)

@@ -25,8 +25,8 @@ from heliograph.llm import common as C
 
 NS = (5, 6, 7)
 FEATURES = 1_500
-SAMPLE = 6_000
-SAMPLE_BYTES = 16_384
+SAMPLE = 12_000
+SAMPLE_BYTES = 32_768
 L2 = 1.0
 
 
@@ -58,28 +58,31 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
+def _gain(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Evidence: the log-likelihood gain of telling the classes apart by an n-gram that so many of either class hold."""
+    p, q, both = (toxic + 1) / (n1 + 2), (other + 1) / (n0 + 2), (toxic + other + 2) / (n1 + n0 + 4)
+    return toxic * np.log(p / both) + other * np.log(q / both) + (n1 - toxic) * np.log((1 - p) / (1 - both)) + (n0 - other) * np.log((1 - q) / (1 - both))
+
+
 def train(texts: pa.Array, labels: np.ndarray, features: int = FEATURES) -> Model:
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 2)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
     size = len(NS) << G.BITS
-    toxic, every = np.zeros(size), np.zeros(size)
+    toxic, every = np.zeros(size, np.int32), np.zeros(size, np.int32)
     slices = [(lo, texts.slice(lo, 50)) for lo in range(0, len(texts), 50)]
     for lo, part in slices:
         d, f = G.present(part, NS)
-        toxic += np.bincount(f, y[d + lo], size)
-        every += np.bincount(f, minlength=size)
-    other = every - toxic
+        np.add.at(toxic, f[y[d + lo] == 1], np.int32(1))
+        np.add.at(every, f, np.int32(1))
     n1, n0 = y.sum(), len(y) - y.sum()
-    p, q = (toxic + 1) / (n1 + 2), (other + 1) / (n0 + 2)
-    both = (toxic + other + 2) / (len(y) + 4)
-    # Evidence: the log-likelihood gain of telling the classes apart by this n-gram.
-    gain = toxic * np.log(p / both) + other * np.log(q / both) + (n1 - toxic) * np.log((1 - p) / (1 - both)) + (n0 - other) * np.log((1 - q) / (1 - both))
-    gain[toxic + other < 3] = -np.inf
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
-    chosen = chosen[gain[chosen] > 2]
-    r = np.log(((toxic + 1) / (toxic.sum() + size)) / ((other + 1) / (other.sum() + size)))[chosen]
+    known = np.flatnonzero(every >= 3)
+    gain = np.concatenate([_gain(toxic[at], every[at] - toxic[at], n1, n0) for at in np.array_split(known, 1 + len(known) // 100_000)])
+    best = np.argsort(-gain, kind="stable")[:features]
+    chosen = np.sort(known[best[gain[best] > 2]])
+    n_toxic, n_every = toxic.sum(dtype=np.int64), every.sum(dtype=np.int64)
+    r = np.log(((toxic[chosen] + 1) / (n_toxic + size)) / ((every[chosen] - toxic[chosen] + 1) / (n_every - n_toxic + size)))
     r -= np.median(r) if len(r) else 0
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))

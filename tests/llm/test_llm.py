@@ -235,6 +235,22 @@ def test_toxicity_cases(spark, odd_docs):
     assert toxicity.score(odd_docs.filter("false"), model).count() == 0
 
 
+def test_toxicity_learns_from_all_of_the_sample(spark):
+    plain = "the quiet river runs past the old mill and the green field "
+    rows = [(i, plain * 400 + ("zorgblatt " * 3 if i % 2 else ""), "en", "s") for i in range(60)]  # 24 KB each
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, rows), labels)
+    few = model.scores(pa.array([plain + "zorgblatt", plain]))
+    assert few[0] > 0.5 > few[1]
+    # Words of the later half of 12,000 labelled rows.
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rank = {i: k for k, i in enumerate(r.id for r in spark.range(12_000).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 32)), "id").collect())}
+    rows = [(i, "river mill" + ("" if i % 2 == 0 else " zorgblatt" if rank[i] >= 6_000 else " countryside meadows"), "en", "s") for i in range(12_000)]
+    late = toxicity.fit(docs_of(spark, rows), labels, held_out=0)
+    assert late.scores(pa.array(["zorgblatt"]))[0] > late.scores(pa.array(["river"]))[0] + 0.1
+    assert len(late.table) == 3 << 20
+
+
 def test_language_held_out_and_blind(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     q = queries.queries()["op3_language_id"]
