@@ -1,7 +1,7 @@
 """Signature rules for licenses, in order of priority.
 
-A line is ``label ; keyword ; pattern``. The pattern runs on lower-cased text, and only where the keyword (a plain
-substring of every match) occurs. Runs of white space and punctuation that may stand between words are written ``_``.
+A line is ``label ; keyword ; pattern``. The pattern runs on lower-cased text, and only where the keyword occurs: one
+word, or a part of one, that every match holds, since whatever stands between words may vary. Runs of white space and punctuation that may stand between words are written ``_``.
 """
 
 NAMES = r"""
@@ -39,7 +39,7 @@ gpl-2.0 ; gpl ; \bgpl_?v?2(?:\.0)?\b
 lgpl-3.0 ; lgpl ; \blgpl_?v?3(?:\.0)?\b
 lgpl-2.1 ; lgpl ; \blgpl_?v?2\.1\b
 agpl-3.0 ; agpl ; \bagpl_?v?3(?:\.0)?\b
-gfdl ; free documentation ; (?:gnu_)?free_documentation_licen[sc]e
+gfdl ; documentation ; (?:gnu_)?free_documentation_licen[sc]e
 gfdl ; gfdl ; \bgfdl_?(?:v?1\.[123])?\b
 mpl-2.0 ; mozilla ; mozilla_public_licen[sc]e_?(?:,_)?(?:version_|v\.?_?)?2(?:\.0)?
 mpl-1.1 ; mozilla ; mozilla_public_licen[sc]e_?(?:,_)?(?:version_|v\.?_?)?1\.1
@@ -74,7 +74,7 @@ zlib ; altered ; altered_source_versions_must_be_plainly_marked
 unlicense ; unlicen ; \bthe_unlicen[sc]e\b
 unlicense ; unencumbered ; free_and_unencumbered_software_released_into_the_public_domain
 wtfpl ; wtfpl ; \bwtfpl\b
-wtfpl ; do what ; do_what_the_f\w*_you_want_to
+wtfpl ; what ; do_what_the_f\w*_you_want_to
 beerware ; beer ; \bbeer_?ware\b
 artistic-2.0 ; artistic ; artistic_licen[sc]e_?(?:,_)?(?:version_|v\.?_?)?2(?:\.0)?
 artistic-1.0 ; artistic ; artistic_licen[sc]e_?(?:,_)?(?:version_|v\.?_?)?1(?:\.0)?
@@ -86,34 +86,34 @@ php-3.01 ; php ; \bphp_licen[sc]e\b
 perl ; perl ; same_terms_as_perl(?:_itself)?
 openssl ; openssl ; \bopenssl_licen[sc]e\b
 postgresql ; postgresql ; \bpostgresql_licen[sc]e\b
-ofl-1.1 ; open font ; (?:sil_)?open_font_licen[sc]e
+ofl-1.1 ; font ; (?:sil_)?open_font_licen[sc]e
 ncsa ; ncsa ; (?:university_of_illinois_)?(?:/_)?ncsa_(?:open_source_)?licen[sc]e
 w3c ; w3c ; \bw3c_(?:software_)?(?:notice_and_)?licen[sc]e\b
 unicode ; unicode ; \bunicode_(?:dfs_|inc_)?licen[sc]e(?:_agreement)?\b
 curl ; curl ; \bcurl_licen[sc]e\b
 vim ; vim ; \bvim_licen[sc]e\b
 tcl ; tcl ; \btcl(?:_tk)?_licen[sc]e\b
-json ; good, not evil ; software_shall_be_used_for_good_not_evil
+json ; evil ; software_shall_be_used_for_good_not_evil
 afl-3.0 ; academic ; academic_free_licen[sc]e
-osl-3.0 ; open software ; open_software_licen[sc]e
+osl-3.0 ; software ; open_software_licen[sc]e
 upl-1.0 ; universal ; universal_permissive_licen[sc]e
 ecl-2.0 ; educational ; educational_community_licen[sc]e
-odbl-1.0 ; open database ; open_database_licen[sc]e
-odc-by-1.0 ; open data ; open_data_commons_attribution_licen[sc]e
-pddl-1.0 ; public domain ; public_domain_dedication_and_licen[sc]e
-ogl-3.0 ; open government ; open_government_licen[sc]e
-openrail ; openrail ; \b(?:creativeml_)?(?:bigscience_)?open_?rail(?:_m|_\+\+_m)?\b
+odbl-1.0 ; database ; open_database_licen[sc]e
+odc-by-1.0 ; commons ; open_data_commons_attribution_licen[sc]e
+pddl-1.0 ; domain ; public_domain_dedication_and_licen[sc]e
+ogl-3.0 ; government ; open_government_licen[sc]e
+openrail ; rail ; \b(?:creativeml_)?(?:bigscience_)?open_?rail(?:_m|_\+\+_m)?\b
 llama ; llama ; \bllama_?[0-9.]*_community_licen[sc]e\b
 cc0-1.0 ; cc0 ; \bcc0(?:_1\.0)?(?:_universal)?\b
-cc0-1.0 ; creative commons ; creative_commons_(?:zero|cc0)
-cc-by-nc-nd ; creative commons ; creative_commons_attribution_non_?commercial_no_?deriv(?:ative)?s?(?:_works)?
-cc-by-nc-sa ; creative commons ; creative_commons_attribution_non_?commercial_share_?alike
-cc-by-nc ; creative commons ; creative_commons_attribution_non_?commercial
-cc-by-nd ; creative commons ; creative_commons_attribution_no_?deriv(?:ative)?s?(?:_works)?
-cc-by-sa ; creative commons ; creative_commons_attribution_share_?alike
-cc-by-4.0 ; creative commons ; creative_commons_attribution_4\.0
-cc-by-3.0 ; creative commons ; creative_commons_attribution_3\.0
-cc-by ; creative commons ; creative_commons_attribution
+cc0-1.0 ; commons ; creative_commons_(?:zero|cc0)
+cc-by-nc-nd ; commons ; creative_commons_attribution_non_?commercial_no_?deriv(?:ative)?s?(?:_works)?
+cc-by-nc-sa ; commons ; creative_commons_attribution_non_?commercial_share_?alike
+cc-by-nc ; commons ; creative_commons_attribution_non_?commercial
+cc-by-nd ; commons ; creative_commons_attribution_no_?deriv(?:ative)?s?(?:_works)?
+cc-by-sa ; commons ; creative_commons_attribution_share_?alike
+cc-by-4.0 ; commons ; creative_commons_attribution_4\.0
+cc-by-3.0 ; commons ; creative_commons_attribution_3\.0
+cc-by ; commons ; creative_commons_attribution
 cc-by-nc-nd ; cc ; \bcc_by_nc_nd(?:_[1-4]\.[05])?\b
 cc-by-nc-sa ; cc ; \bcc_by_nc_sa(?:_[1-4]\.[05])?\b
 cc-by-nc ; cc ; \bcc_by_nc(?:_[1-4]\.[05])?\b
@@ -121,13 +121,13 @@ cc-by-nd ; cc ; \bcc_by_nd(?:_[1-4]\.[05])?\b
 cc-by-sa ; cc ; \bcc_by_sa(?:_[1-4]\.[05])?\b
 cc-by-4.0 ; cc ; \bcc_by_4\.0\b
 cc-by-3.0 ; cc ; \bcc_by_3\.0\b
-creative-commons ; creative commons ; \bcreative_commons\b
-public-domain ; public domain ; \b(?:in|into|to)_the_public_domain\b
-public-domain ; public domain ; \bpublic_domain\b
+creative-commons ; commons ; \bcreative_commons\b
+public-domain ; domain ; \b(?:in|into|to)_the_public_domain\b
+public-domain ; domain ; \bpublic_domain\b
 proprietary ; proprietary ; \bproprietary_and_confidential\b
 proprietary ; confidential ; \bconfidential_and_proprietary\b
 proprietary ; commercial ; \bcommercial_licen[sc]e(?:_agreement)?\b
-proprietary ; end user ; \bend_user_licen[sc]e_agreement\b
+proprietary ; user ; \bend_user_licen[sc]e_agreement\b
 proprietary ; eula ; \beula\b
 noncommercial ; non ; \bfor_non_?commercial_(?:use|purposes)(?:_only)?\b
 no-derivatives ; derivative ; \bno_derivative_works\b

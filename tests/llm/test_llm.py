@@ -317,6 +317,52 @@ def test_license_rules():
         assert keyword == keyword.lower() and re.compile(pattern)
 
 
+def sample_of(pattern, gap, longest):
+    """A text that the pattern matches, with gap wherever anything may stand between words; optional parts are in if longest."""
+    from re import _constants as K
+    from re import _parser
+
+    def one(node):
+        op, arg = node
+        if op is K.LITERAL:
+            return chr(arg)
+        if op is K.IN:
+            return next(chr(x if o is K.LITERAL else x[0] if o is K.RANGE else ord("x")) for o, x in arg if o is not K.NEGATE)
+        if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            low, high, sub = arg
+            blank = sub[0][0] is K.IN and (K.CATEGORY, K.CATEGORY_SPACE) in sub[0][1]
+            return gap if blank else every(sub) * max(low, int(longest and high > 0))
+        if op is K.BRANCH:
+            return every(arg[1][-1 if longest else 0])
+        if op is K.SUBPATTERN:
+            return every(arg[3])
+        assert op in (K.AT, K.ASSERT_NOT, K.ASSERT), op
+        return ""
+
+    def every(nodes):
+        return "".join(map(one, nodes))
+
+    return every(_parser.parse(pattern))
+
+
+def test_license_rules_across_lines():
+    for label, keyword, pattern, _ in table():
+        for gap in ("\n", "  ", "-", " \n "):
+            for longest in (False, True):
+                text = sample_of(pattern, gap, longest)
+                if found := re.search(pattern, text):
+                    assert keyword in found.group(), (label, keyword, text)
+        assert any(re.search(pattern, sample_of(pattern, "\n", x)) for x in (False, True)), pattern
+    s = license_scan.Scanner()
+    labels = lambda t: [s.rules[r][0] for _, _, r in s.detections(t.lower())]
+    assert labels("Creative\nCommons Attribution-ShareAlike") == ["cc-by-sa"]
+    assert labels("GNU Free\n Documentation License") == ["gfdl"]
+    assert labels("in the public\ndomain") == ["public-domain"]
+    assert labels("End-User License Agreement") == ["proprietary"]
+    assert labels("for Good, not  Evil") == [] and labels("software shall be used for Good,\nnot Evil") == ["json"]
+    assert labels("Open RAIL-M") == ["openrail"]
+
+
 # vectors
 
 
