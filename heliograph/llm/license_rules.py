@@ -193,9 +193,12 @@ spdx ; spdx.org ; spdx\.org/licenses/[a-z0-9.-]+
 
 
 def table() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, pattern, confidence) by falling priority: tags, addresses, names."""
+    """(label, keyword, pattern, confidence) by falling priority: tags, addresses, names.
+
+    Where a pattern has a group, the detection is the group alone: one tag may stand before several identifiers.
+    """
     tag = r"spdx-license-identifier:[ \t]*(?:[a-z0-9.() +-]*?[ (])?"
-    rules = [(x, "spdx-license-identifier", tag + x.replace(".", r"\.") + r"(?![a-z0-9.-])", 1.0) for x in SPDX]
+    rules = [(x, "spdx-license-identifier", tag + "(" + x.replace(".", r"\.") + r")(?![a-z0-9.-])", 1.0) for x in SPDX]
     for text, confidence in ((URLS, 0.95), (NAMES, 0.9)):
         for line in text.strip().splitlines():
             label, keyword, pattern = (x.strip() for x in line.split(" ; ", 2))

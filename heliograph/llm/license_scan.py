@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Hundreds of patterns, each gated by a keyword that every match must hold: a text is searched for the few dozen
-distinct keywords first, and only rules whose keyword occurs run. Detections overlap: where the interval of one lies
-within that of another, the one of lower priority (later in the table) is suppressed. The base phrases are counted apart, by words, and their labels always stay.
+distinct keywords first, and only rules whose keyword occurs run. Detections overlap: where the interval of one (of
+a tagged identifier: without the tag) lies within that of another, the one of lower priority (later in the table) is suppressed. The base phrases are counted apart, by words, and their labels always stay.
 
 Defined cases: null is the empty text: no words, no labels (empty strings), score 0. score is the largest confidence
 of the detections that stay (a base phrase counts 0.9).
@@ -42,7 +42,8 @@ class Scanner:
         for keyword, rules in self.by_keyword.items():
             if keyword in text:
                 for r in rules:
-                    found += [(m.start(), m.end(), r) for m in self.rules[r][1].finditer(text) if m.end() > m.start()]
+                    group = self.rules[r][1].groups  # 0: the whole match
+                    found += [(*m.span(group), r) for m in self.rules[r][1].finditer(text) if m.end() > m.start()]
         found.sort()
         kept: list[tuple[int, int, int]] = []
         at = 0

@@ -363,6 +363,17 @@ def test_license_rules_across_lines():
     assert labels("Open RAIL-M") == ["openrail"]
 
 
+def test_license_expressions():
+    s = license_scan.Scanner()
+    labels = lambda t: [s.rules[r][0] for _, _, r in s.detections(t.lower())]
+    assert labels("SPDX-License-Identifier: GPL-2.0-only OR MIT") == ["gpl-2.0-only", "mit"]
+    assert labels("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nimport x") == ["mit", "apache-2.0", "bsd-3-clause"]
+    assert labels("SPDX-License-Identifier: CC-BY-SA-4.0") == ["cc-by-sa-4.0"]
+    text = "spdx-license-identifier: gpl-2.0-or-later"
+    assert [(text[a:b]) for a, b, _ in s.detections(text)] == ["gpl-2.0-or-later"]
+    assert all(p.groups <= 1 for _, p, _ in s.rules)
+
+
 # vectors
 
 
