@@ -436,14 +436,21 @@ def rt10_graph_diffusion(spark, d):
 def rt12_top_entities(spark, d):
     c = _chunks(spark, d)
     s = graph.entity_stats(graph.simple_mentions(c), c.agg(F.count("*").alias("n")))
-    return s.filter("usable").orderBy(F.desc("df"), "entity").limit(50).select("entity", "df", _r("idf").alias("idf"))
+    return graph.top_entities(s, 50).select("entity", "df", _r("idf").alias("idf"))
+
+
+@query(f"WITH {_GRAPH} SELECT entity, df, round(idf, 6) AS idf FROM es WHERE usable ORDER BY df DESC, entity")
+def rt12_entities(spark, d):
+    c = _chunks(spark, d)
+    s = graph.entity_stats(graph.simple_mentions(c), c.agg(F.count("*").alias("n")))
+    return graph.top_entities(s).select("entity", "df", _r("idf").alias("idf"))
 
 
 @query(f"WITH {_GRAPH}, top AS (SELECT entity FROM es WHERE usable ORDER BY df DESC, entity LIMIT 50), k AS (SELECT * FROM m JOIN top USING (entity)) SELECT x.entity AS a, y.entity AS b, count(*) AS n FROM k x JOIN k y USING (chunk_id) WHERE x.entity < y.entity GROUP BY ALL")
 def rt12_entity_comentions(spark, d):
     c = _chunks(spark, d)
     m = graph.simple_mentions(c)
-    return graph.co_mentions(m, graph.entity_stats(m, c.agg(F.count("*").alias("n"))))
+    return graph.co_mentions(m, graph.entity_stats(m, c.agg(F.count("*").alias("n"))), 50)
 
 
 @query()

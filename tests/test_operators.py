@@ -346,3 +346,24 @@ def test_pipeline_modes(spark):
     left = delete(chunks, chunks.filter("doc_id = 1"))
     assert left.count() == 2 and upsert(chunks, chunks.filter("doc_id = 1")).count() == 3
     assert heaviest(sparse_encode(i), 1).count() == 3
+
+
+def test_all_entities_and_included_co_mentions(spark):
+    rows = [(i, f"e{i % 70:02}") for i in range(210)] + [(i, "hub") for i in range(210)] + [(0, "rare"), (1, "rare"), (0, "other")]
+    m = spark.createDataFrame(rows, "chunk_id long, entity string")
+    stats = graph.entity_stats(m, spark.createDataFrame([(210,)], "n long"))
+    got = [r.entity for r in graph.top_entities(stats).collect()]
+    assert got == [f"e{i:02}" for i in range(70)] + ["rare", "other"]
+    assert [r.entity for r in graph.top_entities(stats, 2).collect()] == ["e00", "e01"]
+    assert graph.co_mentions(m, stats).count() == 0
+    include = spark.createDataFrame([("rare",), ("hub",), ("rare",), ("absent",), (None,), ("e00",)], "entity string")
+    pairs = {(r.a, r.b): r.n for r in graph.co_mentions(m, stats, include=include).collect()}
+    # e00 is included, so that the 60 others are e01 to e60.
+    want = {(f"e{i:02}", "hub"): 3 for i in range(61)} | {("e00", "rare"): 1, ("e01", "rare"): 1, ("hub", "rare"): 2}
+    assert pairs == want
+
+
+def test_co_mentions_take_60(spark):
+    m = spark.createDataFrame([(i, f"e{i:02}") for i in range(65)] + [(999, f"e{i:02}") for i in range(65)], "chunk_id long, entity string")
+    stats = graph.entity_stats(m, spark.createDataFrame([(1000,)], "n long"))
+    assert graph.co_mentions(m, stats).count() == 60 * 59 // 2
