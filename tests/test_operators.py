@@ -367,3 +367,9 @@ def test_co_mentions_take_60(spark):
     m = spark.createDataFrame([(i, f"e{i:02}") for i in range(65)] + [(999, f"e{i:02}") for i in range(65)], "chunk_id long, entity string")
     stats = graph.entity_stats(m, spark.createDataFrame([(1000,)], "n long"))
     assert graph.co_mentions(m, stats).count() == 60 * 59 // 2
+
+
+def test_entities_after_long_gaps():
+    for gap in (1, 199, 200, 5000):
+        assert graph.entities("we ended." + " " * gap + "The house stood") == []
+        assert graph.entities("we met" + " " * gap + "Anna") == ["Anna"]
