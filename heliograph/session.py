@@ -38,12 +38,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(place / root.name), "zip", place / "src"))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to 8 MB, unless a size was chosen: rows are whole texts, and a batch is in memory several times."""
+    if spark.conf.get(BATCH, None) == "67108864b":
+        spark.conf.set(BATCH, "8m")
+
+
 def shipped(query):
     """The same query, with the package shipped before it is planned."""
 
     @functools.wraps(query)
     def run(spark, *args):
         ship(spark)
+        small_batches(spark)
         return query(spark, *args)
 
     return run
