@@ -6,6 +6,7 @@ operations instead of a Python object.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -96,24 +97,30 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         at = starts[live] + 8 * step
 
 
+ROLL = 1 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def rolling(h: np.ndarray, width: int, odd: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """A hash of every window of so many consecutive word hashes (windows over the bounds of texts included)."""
+    """A hash of every window of so many consecutive word hashes (windows over the bounds of texts included).
+
+    Prefix sums run over blocks of ROLL words, so the tables of powers, which a worker keeps, have one size.
+    """
     n = len(h)
     if n < width:
         return np.zeros(0, np.uint64)
-    if odd not in _powers or len(_powers[odd][0]) < n + 1:
-        size = 1 << (n + 1).bit_length()
+    if odd not in _powers or len(_powers[odd][0]) < ROLL + width:
         back = pow(odd, -1, 1 << 64)
-        p = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size, odd, np.uint64)]))
-        q = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(size, back, np.uint64)]))
-        _powers[odd] = (p, q)
+        one = np.ones(1, np.uint64)
+        _powers[odd] = tuple(np.multiply.accumulate(np.concatenate([one, np.full(ROLL + width, x, np.uint64)])) for x in (odd, back))
     p, q = _powers[odd]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * p[:n], out=total[1:])
-    return mix((total[width:] - total[:-width]) * q[: n - width + 1])
+    out = np.empty(n - width + 1, np.uint64)
+    for lo in range(0, len(out), ROLL):
+        part = h[lo : lo + ROLL + width - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * p[: len(part)], out=total[1:])
+        out[lo : lo + ROLL] = mix((total[width:] - total[:-width]) * q[: len(part) - width + 1])
+    return out
 
 
 def window_mask(first: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -124,19 +131,24 @@ def window_mask(first: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.arange(n - width + 1) + width <= ends[: n - width + 1]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The stored size of a table with a text column: the scan's own where the rows come straight from files, else measured."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if plan.collectLeaves().size() == 1 and len(df.inputFiles()):
-        size = int(str(plan.stats().sizeInBytes()))
-        if size < 1 << 60:
-            return size
-    return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+def text_bytes(df: DataFrame) -> int:
+    """The bytes of all texts as they are in memory (stored sizes say little of repetitive texts)."""
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def parts(df: DataFrame, bytes_each: int, least: int = 12) -> int:
+def parts(size: int, bytes_each: int, least: int = 12) -> int:
     """A number of groups that grows with the input, so that each group keeps one size."""
-    return max(least, math.ceil(estimated_bytes(df) / bytes_each))
+    return max(least, math.ceil(size / bytes_each))
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: idle Python workers stay alive for the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -178,7 +190,7 @@ def bounded_sample(rows: DataFrame, keep: Column, n: int) -> DataFrame:
             return near.orderBy(h, *rows.columns).limit(n)
 
 
-def chunks(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text each (one text is never divided), to bound memory."""
     i = batch.schema.get_field_index(column)
     lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(i)), 0)).astype(np.int64)
@@ -188,6 +200,7 @@ def chunks(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") ->
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def draw(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = narrow.withColumn("copy", F.row_number().over(copies))
     known = _small(sources)
     rows = rows.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    groups = C.parts(docs.select("text"), 4 << 20)
+    groups = C.parts(C.text_bytes(docs), 8 << 20)
     rows = C.cut(rows.select("doc_id", "th", "copy", "sid", "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", "th"), F.lit(groups)).alias("group")))
     before = Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("sid", "group").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0).cast("long"))).drop("words")

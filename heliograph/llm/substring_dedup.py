@@ -6,10 +6,11 @@ reference text, so no repeat can miss. Hits are extended to all windows that hol
 in full (by hashes of 64 bits inside hash groups chosen by a second, independent hash), and runs of repeated
 windows make up the maximal exact repeats.
 
-Data flow: texts are packed by a hash of the row (a pack is a few MB of text). A pack sends each *distinct* probe
-once, as a sorted byte-packed array per hash group, so a block that a third of all documents share costs one entry
-per pack, not one per document. Answers come back per pack. The exchange that packs the texts is one subplan and
-is reused by the three steps that read it. No pairs of documents are ever made.
+Data flow: texts are packed by a hash of the row (a pack is PACK_BYTES of text, as it is in memory). A pack sends each
+*distinct* probe once, as a sorted byte-packed array per hash group, so a block that a third of all documents share
+costs one entry per pack, not one per document. Answers come back per pack. The exchange that packs the texts is one
+subplan and is reused by the three steps that read it. No pairs of documents are ever made. Hash groups are sized by
+themselves (GROUP_BYTES of text each): a message exists only for a pack's own probes, so messages never outnumber these.
 
 Defined cases: null or empty text, or fewer words than a window: nothing is removed. doc_id null: its words are
 kept, and it is no reference for others. Rows that share a doc_id don't remove each other's words. Other columns
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from heliograph.llm import common as C
 
 WINDOW = 50
-PACK_BYTES = 4 << 20  # of stored input per pack of texts
+PACK_BYTES = 4 << 20  # of text per pack
+GROUP_BYTES = 16 << 20  # of text per hash group
 _NEVER = np.iinfo(np.int64).max
 _CHECK = 0xA24BAED4963EE407
 PROBES = "pack long, bucket int, probes binary"
@@ -65,7 +67,7 @@ class _Pack:
         ids = table["doc_id"]
         self.known = ids.is_valid().to_numpy()
         self.doc = ids.fill_null(_NEVER).to_numpy()
-        self.row = np.repeat(np.arange(len(self.doc)), np.diff(self.first))
+        self.row = np.repeat(np.arange(len(self.doc), dtype=np.int32), np.diff(self.first))
         self.n = len(self.starts)
         self.window = window
         self.block = window // 2
@@ -76,9 +78,10 @@ class _Pack:
         if self.n < self.window:
             return (np.zeros(0, np.int64),) * 4
         h = C.rolling(self.h, self.block)
+        counts = np.diff(self.first)
         ok = C.window_mask(self.first, self.n, self.block)
-        size = np.diff(self.first)[self.row[: len(h)]]
-        at = np.flatnonzero(ok & (size >= self.window) & self.known[self.row[: len(h)]])
+        ok &= np.repeat((counts >= self.window) & self.known, counts)[: len(h)]
+        at = np.flatnonzero(ok)
         h = h[at]
         return (h >> np.uint64(31)).astype(np.int64) % groups, h & np.uint64((1 << 30) - 1), at, (at - self.first[self.row[at]]) % self.block == 0
 
@@ -113,14 +116,12 @@ def _match(key, table):
     """Of one hash group: to each pack, the probes that meet a block and occur more than once in all."""
     packs = table["pack"].to_pylist()
     each = [_unpacked(x.as_py(), np.uint32) for x in table["probes"]]
-    every = np.concatenate(each)
-    order = np.argsort(every >> np.uint32(2), kind="stable")
-    value = every[order] >> np.uint32(2)
+    every = np.sort(np.concatenate(each))  # equal probes stand together, whatever their flags
+    value = every >> np.uint32(2)
     at = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    flags = every[order]
-    block = np.bitwise_or.reduceat(flags & np.uint32(2), at) > 0
-    twice = (np.bitwise_or.reduceat(flags & np.uint32(1), at) > 0) | (np.diff(np.r_[at, len(value)]) > 1)
-    hit = value[at][block & twice]
+    flags = np.bitwise_or.reduceat(every & np.uint32(3), at)
+    twice = (flags & np.uint32(1) > 0) | (np.diff(np.r_[at, len(value)]) > 1)
+    hit = value[at][(flags & np.uint32(2) > 0) & twice]
     packs_out, hits = [], []
     for p, x in zip(packs, each):
         got = np.intersect1d(x >> np.uint32(2), hit, assume_unique=True)
@@ -245,14 +246,31 @@ def _finish(window: int, groups: int, texts: bool):
 SPANS = pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32())]))
 
 
+def _trimmed(step):
+    """The step, with its memory given back after each group."""
+
+    def two(key, table):
+        out = step(key, table)
+        C.trim()
+        return out
+
+    def three(key, table, other):
+        out = step(key, table, other)
+        C.trim()
+        return out
+
+    return two if step.__code__.co_argcount == 2 else three
+
+
 def _run(docs: DataFrame, window: int, texts: bool, schema: str | T.StructType) -> DataFrame:
-    groups = C.parts(docs.select("doc_id", "text"), PACK_BYTES)
-    by = docs.withColumn("_pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).groupBy("_pack")
-    probes = by.applyInArrow(_probe(window, groups), PROBES)
-    answers = probes.groupBy("bucket").applyInArrow(_match, ANSWERS)
-    candidates = by.cogroup(answers.groupBy("pack")).applyInArrow(_extend(window, groups), PROBES)
-    repeats = candidates.groupBy("bucket").applyInArrow(_settle, ANSWERS)
-    return by.cogroup(repeats.groupBy("pack")).applyInArrow(_finish(window, groups, texts), schema)
+    size = C.text_bytes(docs)
+    packs, groups = C.parts(size, PACK_BYTES), C.parts(size, GROUP_BYTES)
+    by = docs.withColumn("_pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs))).groupBy("_pack")
+    probes = by.applyInArrow(_trimmed(_probe(window, groups)), PROBES)
+    answers = probes.groupBy("bucket").applyInArrow(_trimmed(_match), ANSWERS)
+    candidates = by.cogroup(answers.groupBy("pack")).applyInArrow(_trimmed(_extend(window, groups)), PROBES)
+    repeats = candidates.groupBy("bucket").applyInArrow(_trimmed(_settle), ANSWERS)
+    return by.cogroup(repeats.groupBy("pack")).applyInArrow(_trimmed(_finish(window, groups, texts)), schema)
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
