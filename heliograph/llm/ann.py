@@ -1,32 +1,38 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
-Vectors are packed into blocks. Every block of queries meets every block of candidates once, by an equi-join on the
-query block's number (a stated query set against all rows, in blocks). A tile is one matrix product of the int8 codes;
-as products of small integers it is exact in float32 arithmetic. With per-vector scales s the inner product q.c lies
-within |q - s q8|.|c| + |s q8|.|c - s c8| of s s' (q8.c8), so a lower bound of the k-th best is known, and only pairs
-whose upper bound reaches it are recomputed, in double precision on the original vectors. A tile's survivors are cut
-to k per query; a heap merge over the tiles of a query gives the k nearest. Nothing is approximate in the result.
+Vectors are packed into blocks with their int8 codes, scales and rounding errors, once. Queries' blocks and groups of
+rows' blocks form a grid, and each cell is one key of an equi-join (a stated query set against all rows, in blocks).
+A tile is one matrix product of the int8 codes; products of small integers are exact in float32 over SPAN components, and
+longer vectors are summed in double precision span by span. With per-vector scales s the inner product q.c lies within
+|q - s q8|.|c| + |s q8|.|c - s c8| of s s' (q8.c8), so a lower bound of the k-th best is known, and only pairs whose upper
+bound reaches it are recomputed, in double precision on the original vectors. A tile's survivors are cut to k per query,
+a cell's tiles are merged by heaps, and a window over the cells of a query gives the k nearest. Nothing is approximate
+in the result.
 
 Defined cases: vectors null, zero or with null or non-finite components take no part, as query or candidate. Vectors
-of unequal length are compared as if the shorter ended in zeros. Ties go to the smaller id; equal ids of several rows
-are candidates each, and none is a candidate of its own id's query.
+of unequal length are compared as if the shorter ended in zeros. Ties go to the smaller id. An id of several rows is
+asked once, with the smallest of its vectors; as candidates its rows count one by one, and none is a candidate of its
+own id's query. A score that overflows to no number at all counts as the smallest.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import common as C
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
 ROW_BLOCK = 8192
-SPREAD = 8
-BLOCKS = "block long, ids binary, vectors binary, n int, width int"
+CELL_ROWS = 16_384  # rows of a cell of the grid
+STRIPE = 128  # queries of a tile that are multiplied at once
+SPAN = 1024  # 127^2 * SPAN < 2^24
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", zero: bool = False) -> DataFrame:
@@ -51,117 +57,169 @@ def matrix(column) -> np.ndarray:
     return out
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) as blocks of at most so many rows, packed where they lie, without a shuffle; a block's number is a hash of its ids."""
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices, of one width."""
+    width = max(a.shape[1], b.shape[1])
+    return tuple(x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
-    def pack(ids: list, parts: list) -> pa.RecordBatch:
-        width = max(p.shape[1] for p in parts)
-        m = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
-        i = np.concatenate(ids)
-        number = int((C.mix(i.view(np.uint64)).sum() >> np.uint64(2)).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(i)], pa.int32()), pa.array([width], pa.int32())], ["block", "ids", "vectors", "n", "width"])
 
-    def run(batches):
+def joined(queries: DataFrame, rows: DataFrame, query_block: int, row_block: int, encode_query, encode_row, step, schema: str) -> DataFrame:
+    """step over the cells of the grid of queries and rows, both (id, v).
+
+    encode_query and encode_row make anything of (ids, matrix), once for each block; step gets an iterator of cells, each
+    an iterator of (encoded queries, encoded rows) with the same queries, and yields record batches of the schema.
+    """
+    asked = C.written(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    numbers = max(1, math.ceil(asked.count() / query_block))
+
+    def pack_queries(key, table):
+        data = pickle.dumps(encode_query(table["id"].to_numpy(), matrix(table["v"])))
+        return pa.table({"q": pa.array([key[0].as_py()], pa.int32()), "q_data": pa.array([data], pa.binary())})
+
+    def pack_rows(batches):
         ids, parts, held = [], [], 0
+
+        def packed():
+            width = max(p.shape[1] for p in parts)
+            m = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+            i = np.concatenate(ids)
+            number = int((C.mix(i.view(np.uint64)).sum() >> np.uint64(2)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(i)], pa.int64()), pa.array([pickle.dumps(encode_row(i, m))], pa.binary())], ["hash", "n", "data"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
             i, m = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
             at = 0
             while at < len(i):
-                take = min(size - held, len(i) - at)
+                take = min(row_block - held, len(i) - at)
                 ids.append(i[at : at + take])
                 parts.append(m[at : at + take])
                 held += take
                 at += take
-                if held == size:
-                    yield pack(ids, parts)
+                if held == row_block:
+                    yield packed()
                     ids, parts, held = [], [], 0
         if held:
-            yield pack(ids, parts)
+            yield packed()
+
+    number = F.pmod(F.xxhash64("id"), F.lit(numbers)).cast("int")
+    q = C.written(asked.groupBy(number.alias("q")).applyInArrow(pack_queries, "q int, q_data binary"), "query-blocks")
+    # Blocks of rows are packed where they lie, and written: what a cell holds must not change when a task runs again.
+    r = C.written(rows.select("id", "v").mapInArrow(pack_rows, "hash long, n long, data binary"), "row-blocks")
+    groups = max(1, math.ceil((r.agg(F.sum("n")).first()[0] or 0) / CELL_ROWS))
+    r = r.select(F.pmod("hash", F.lit(groups)).cast("int").alias("g"), "data", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("q"))
+    q = q.select("q", "q_data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    met = r.join(q, ["q", "g"]).select("q", "g", "q_data", "data")
 
-    return rows.mapInArrow(run, BLOCKS)
+    def run(batches):
+        def tiles():
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i], b.column(3)[i]
 
+        def cells():
+            """Rows of one cell stand together: the join has sorted (or hashed) them by its keys; if not, a cell comes in parts."""
+            now, held = None, None
+            for key, q_data, data in tiles():
+                if key != now:
+                    now, held = key, pickle.loads(q_data.as_py())
+                yield key, held, pickle.loads(data.as_py())
 
-def unpacked(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.float64).reshape(len(i), width)
+        yield from step(cells())
+        C.trim()
 
+    return met.mapInArrow(run, schema)
 
-def int8(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (as float32), the scale of each row, and the norm of each row's rounding error."""
-    scale = np.abs(m).max(1, initial=0.0) / 127.0
-    scale[scale == 0] = 1.0
-    codes = np.rint(m / scale[:, None])
-    return codes.astype(np.float32), scale, np.sqrt(((m - codes * scale[:, None]) ** 2).sum(1))
+
+def int8(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, the scale of each row, the norm of each row's rounding error, and of the row."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = np.abs(m).max(1, initial=0.0) / 127.0
+        scale[scale == 0] = 1.0
+        codes = np.rint(m / scale[:, None])
+        return codes.astype(np.int8), scale, np.sqrt(((m - codes * scale[:, None]) ** 2).sum(1)), np.sqrt((m * m).sum(1))
+
+
+def coded(ids: np.ndarray, m: np.ndarray) -> tuple:
+    """A block: ids, codes, scales, errors, norms, and the vectors (in single precision where that is exact)."""
+    with np.errstate(over="ignore"):
+        single = m.astype(np.float32)
+    return ids, *int8(m), single if (single == m).all() else m
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, component by component in order, so that equal vectors have equal products."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            total += a[:, j].astype(np.float64) * b[:, j]
+    return np.where(np.isnan(total), -np.inf, total)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix product of codes, exact."""
+    total = 0.0
+    for at in range(0, max(1, a.shape[1]), SPAN):
+        total = total + (a[:, at : at + SPAN].astype(np.float32) @ b[:, at : at + SPAN].astype(np.float32).T).astype(np.float64)
     return total
 
 
-def tile(qi, q, ci, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in one tile: query row, id, score."""
-    width = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-    q8, qs, qe = int8(q)
-    c8, cs, ce = int8(c)
-    with np.errstate(over="ignore", invalid="ignore"):
-        near = (q8 @ c8.T).astype(np.float64) * qs[:, None] * cs
-        cn, qn = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1)) + qe
-        bound = qe[:, None] * cn + qn[:, None] * ce + 1e-9 * (qn[:, None] * (cn + ce) + 1e-300)
-        low = near - bound
-        low[qi[:, None] == ci] = -np.inf
-        keep = min(k, len(ci))
-        floor = np.partition(low, len(ci) - keep, axis=1)[:, len(ci) - keep] if len(ci) else np.full(len(qi), -np.inf)
-        doubt = ~np.isfinite(near + bound)  # overflow: always recomputed
-        row, col = np.nonzero((((near + bound) >= floor[:, None]) | doubt) & (qi[:, None] != ci))
-    score = np.empty(len(row))
-    for lo in range(0, len(row), 1 << 17):
-        score[lo : lo + (1 << 17)] = exact(q[row[lo : lo + (1 << 17)]], c[col[lo : lo + (1 << 17)]])
-    order = np.lexsort((ci[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    top = place < k
-    return row[top], ci[col[top]], score[top]
-
-
-def joined(queries: DataFrame, rows: DataFrame, query_block: int, row_block: int, step, schema: str, merge) -> DataFrame:
-    """step(tile) for every block of queries and every block of rows, then merge of each query's results."""
-    # The query blocks are written first: their numbers must not change when a task runs again.
-    q = C.written(blocks(queries, query_block), "queries").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "width")])
-    c = blocks(rows, row_block).select("block", "ids", "vectors", "width")
-    # Each block of rows goes once to every block of queries (rows / QUERY_BLOCK numbers); SPREAD keeps a query block's tiles on several tasks.
-    tiles = c.join(q.select("q_block")).withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(SPREAD)))
-    spread = q.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    pairs = tiles.join(spread, ["q_block", "spread"])
-    return merge(pairs.select("q_ids", "q_vectors", "q_width", "ids", "vectors", "width").mapInArrow(step, schema))
+def tile(queries: tuple, rows: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query in one tile: query row, id, score; by query row, best first."""
+    (qi, q8, qs, qe, qn, q), (ci, c8, cs, ce, cn, c) = queries, rows
+    q8, c8 = alike(q8, c8)
+    q, c = alike(q, c)
+    found = []
+    for lo in range(0, len(qi), STRIPE):
+        at = slice(lo, lo + STRIPE)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = products(q8[at], c8) * qs[at, None] * cs
+            most = qn[at, None] + qe[at, None]
+            bound = qe[at, None] * cn + most * ce + 1e-9 * (most * (cn + ce) + 1e-300)
+            low = near - bound
+            doubt = ~np.isfinite(near + bound)  # overflow: always recomputed
+            low[doubt] = -np.inf
+            own = qi[at, None] == ci
+            low[own] = -np.inf
+            keep = min(k, len(ci))
+            floor = np.partition(low, len(ci) - keep, axis=1)[:, len(ci) - keep]
+            row, col = np.nonzero((((near + bound) >= floor[:, None]) | doubt) & ~own)
+        score = np.empty(len(row))
+        for s in range(0, len(row), 1 << 14):
+            score[s : s + (1 << 14)] = exact(q[lo + row[s : s + (1 << 14)]], c[col[s : s + (1 << 14)]])
+        order = np.lexsort((ci[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[top] + lo, ci[col[top]], score[top]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows of the largest inner product with each query; both (id, v)."""
 
-    def step(batches):
-        for b in batches:
-            for x in b.to_pylist():
-                qi, q = unpacked(x["q_ids"], x["q_vectors"], x["q_width"])
-                ci, c = unpacked(x["ids"], x["vectors"], x["width"])
-                row, found, score = tile(qi, q, ci, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    def heaps(key, table):
-        """The k best of one query over its tiles."""
-        pairs = zip((-table["score"].to_numpy()).tolist(), table["vec_id"].to_pylist())
-        best = heapq.nsmallest(k, pairs)
-        n = len(best)
-        return pa.table({"query_id": pa.array([key[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([i for _, i in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.float64())})
-
-    merge = lambda found: found.groupBy("query_id").applyInArrow(heaps, "query_id long, rank int, vec_id long, score double")
-    return joined(queries, rows, QUERY_BLOCK, ROW_BLOCK, step, "query_id long, vec_id long, score double", merge)
+    def batch(ids: np.ndarray, best: list[list]) -> pa.RecordBatch:
+        flat = [(i, j, -s) for i, own in zip(ids.tolist(), best) for s, j in own]
+        q, v, s = zip(*flat) if flat else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+    def step(cells):
+        now, ids, best = None, None, None
+        for key, asked, block in cells:
+            if key != now:
+                if now is not None:
+                    yield batch(ids, best)
+                now, ids, best = key, asked[0], [[] for _ in asked[0]]
+            row, found, score = tile(asked, block, k)
+            cuts = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
+            pairs = list(zip((-score).tolist(), found.tolist()))
+            for n in range(len(ids)):
+                if cuts[n] < cuts[n + 1]:
+                    best[n] = heapq.nsmallest(k, best[n] + pairs[cuts[n] : cuts[n + 1]])
+        if now is not None:
+            yield batch(ids, best)
+
+    found = joined(queries, rows, QUERY_BLOCK, ROW_BLOCK, coded, coded, step, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,15 +407,16 @@ def test_block_matrix_join(spark, monkeypatch, blocks):
 def test_bit_sliced_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 64)
     rows, df = vectors(spark)
-    q = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)}
+    q = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     v = topk.quantised(df)
     got = defaultdict(list)
     for r in topk.search(v.filter("id % 5 = 0"), v, 9).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     for i in q:
         if i % 5 == 0:
-            assert got[i] == [(j, -s) for s, j in sorted((-dot(q[i], q[j]), j) for j in q if j != i)[:9]]
+            assert got[i] == [(j, long(-s)) for s, j in sorted((-dot(q[i], q[j]), j) for j in q if j != i)[:9]]
     few = v.filter("id < 4")
     assert topk.search(few.filter("id = 0"), few, 9).count() == 3
     same_ = spark.createDataFrame([(i, [0.5, 0.25]) for i in range(40)], "vec_id long, embedding array<double>")
@@ -423,6 +424,56 @@ def test_bit_sliced_topk(spark, monkeypatch):
     assert [r.vec_id for r in topk.search(tied.filter("id = 3"), tied, 5).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
 
 
+@pytest.mark.parametrize("scale, dims, blocks", [(1.0, 64, (16, 32)), (1e9, 5, (16, 32)), (1.0, 2100, (64, 64)), (1e300, 3, (4, 8))])
+def test_vectors_of_every_size_with_repeated_ids(spark, monkeypatch, scale, dims, blocks):
+    """Ids of two rows each; wide vectors; components beyond 2^31 after scaling, of either kind of row and query."""
+    for m in (ann, topk):
+        monkeypatch.setattr(m, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(m, "ROW_BLOCK", blocks[1])
+    monkeypatch.setattr(ann, "CELL_ROWS", 48)
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        v = [r.gauss(0, 1) * (scale if i % 3 else 1.0) for _ in range(dims)]
+        rows += [(i, v), (i, v if i % 4 else [r.gauss(0, 1) for _ in range(dims)])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    asked = {i: min(v for j, v in rows if j == i) for i in range(0, 60, 5)}
+    v = ann.usable(df)
+    got = defaultdict(list)
+    for x in ann.search(v.filter("id % 5 = 0"), v, 11).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    assert set(got) == set(asked)
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total if total == total else -np.inf
+
+    for i, q in asked.items():
+        best = sorted((-dot(q, c), j) for j, c in rows if j != i)[:11]
+        assert got[i] == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    whole = lambda c: [int(np.floor(x * 1024)) for x in c]
+    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    ints = [(j, whole(c)) for j, c in rows]
+    w = topk.quantised(df)
+    exact = defaultdict(list)
+    for x in topk.search(w.filter("id % 5 = 0"), w, 11).orderBy("query_id", "rank").collect():
+        exact[x.query_id].append((x.vec_id, x.score))
+    for i, q in asked.items():
+        best = sorted((-sum(x * y for x, y in zip(whole(q), c)), j) for j, c in ints if j != i)[:11]
+        assert exact[i] == [(j, long(-s)) for s, j in best]
+
+
+def test_topk_keeps_large_vectors(spark):
+    df = spark.createDataFrame([(100, [2.5e6, 1.0]), (200, [1e308, -1.0]), (3, [2.5e6, 0.5]), (4, [1.0, 1.0]), (5, [-1e308, 0.0])], "vec_id long, embedding array<double>")
+    v = topk.quantised(df)
+    got = [(x.query_id, x.vec_id, x.score) for x in topk.search(v.filter("id % 100 = 0"), v, 10).orderBy("query_id", "rank").collect()]
+    top = (1 << 63) - 1
+    a, b = [2_560_000_000, 1024], [2_560_000_000, 512]
+    assert got == [(100, 200, top), (100, 3, a[0] * b[0] + a[1] * b[1]), (100, 4, a[0] * 1024 + 1024 * 1024), (100, 5, -top - 1), (200, 100, top), (200, 3, top), (200, 4, top), (200, 5, -top - 1)]
+
+
 # urls
 
 
