@@ -523,6 +523,16 @@ def test_mined_rules_against_counting(spark):
         assert best.get(i) == (max(fit) if fit else None)
 
 
+def test_deep_paths_are_mined_in_bounded_time(spark):
+    """Thirty segments that always stand together are one token; nothing grows with their subsets."""
+    deep = "/".join(f"s{i}" for i in range(30))
+    urls = [f"http://bad.com/en/{deep}"] * 15 + [f"http://bad.com/fr/{deep}"] * 2 + [f"http://fine{i % 4}.net/a/b{i}" for i in range(40)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: "block" if i < 17 else "allow" for i in range(len(urls))}
+    rows = spark.createDataFrame([(["a", 'b"\\\n', "c", "d"], "block")] * 12 + [(["a", "e"], None)] * 4, "items array<string>, verdict string")
+    assert {tuple(r.tokens): r.confidence for r in url_filter.mine(rows).collect()} == {("a",): 0.75, ('b"\\\n',): 1.0, ("a", 'b"\\\n'): 1.0}
+
+
 # byte-level BPE
 
 
