@@ -7,6 +7,7 @@ import numpy as np
 from heliograph.llm import common as C
 
 BITS = 20
+BLOCK = 1 << 18
 # Bytes as the n-grams see them: A-Z lower-cased, everything else of ASCII but letters a space (digits a 0).
 CLASS = np.full(256, 0x20, np.uint8)
 CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -18,12 +19,12 @@ CLASS[0x80:] = np.arange(0x80, 0x100)
 def spaced(column) -> tuple[np.ndarray, np.ndarray]:
     """The folded bytes of all texts with a space before and after each, and where each begins (its space included)."""
     buf, offsets = C.texts(column)
-    lens = np.diff(offsets)
-    n = len(lens)
-    out = np.full(len(buf) + n + 1, 0x20, np.uint8)
-    if len(buf):
-        out[np.arange(len(buf)) + np.repeat(np.arange(1, n + 1), lens)] = CLASS[buf]
-    return out, offsets + np.arange(n + 1)
+    begin = offsets + np.arange(len(offsets))
+    out = np.full(len(buf) + len(offsets), 0x20, np.uint8)
+    letter = np.ones(len(out), bool)
+    letter[begin] = False
+    out[letter] = CLASS[buf]
+    return out, begin
 
 
 def grams(folded: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
@@ -45,20 +46,26 @@ def owners(begin: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(begin, places, "right") - 1
 
 
+def places(folded: np.ndarray, begin: np.ndarray, n: int, bits: int = BITS):
+    """(text, bucket) of all n-grams within texts, in blocks of about BLOCK places, so that long texts cost no more memory."""
+    for lo in range(0, len(folded) - n + 1, BLOCK):
+        g = grams(folded[lo : lo + BLOCK + n - 1], n, bits)
+        at = np.arange(lo, lo + len(g))
+        doc = owners(begin, at)
+        inside = at + n <= begin[doc + 1] + 1  # the space after a text may close its last n-gram
+        yield doc[inside], g[inside]
+
+
 def present(column, ns: tuple[int, ...], table: np.ndarray | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs, in order; features are buckets, each n in a range of its own, or what table makes of them (below 0: none)."""
     folded, begin = spaced(column)
-    docs, features = [], []
+    found = [np.zeros(0, np.int64)]
     for i, n in enumerate(ns):
-        g = grams(folded, n, bits).astype(np.int64) + (i << bits)
-        at = np.arange(len(g))
-        if table is not None:
-            g = table[g]
-            at = np.flatnonzero(g >= 0)
-            g = g[at]
-        doc = owners(begin, at)
-        inside = at + n <= begin[doc + 1] + 1  # the space after a text may close its last n-gram
-        docs.append(doc[inside])
-        features.append(g[inside].astype(np.int64))
-    key = np.unique((np.concatenate(docs) << 32) | np.concatenate(features))
+        for doc, g in places(folded, begin, n, bits):
+            g = g.astype(np.int64) + (i << bits)
+            if table is not None:
+                g = table[g]
+                doc, g = doc[g >= 0], g[g >= 0].astype(np.int64)
+            found.append(np.unique((doc << 32) | g))
+    key = np.unique(np.concatenate(found))
     return key >> 32, key & 0xFFFFFFFF

@@ -6,8 +6,11 @@ every two languages of a family. A prediction takes the family of the largest ma
 wins most duels, ties to the larger sum of margins, then to the smaller name. Languages of no known family are
 families of their own.
 
-Training is bounded: at most SAMPLE rows in an order of hashes of doc_id, of texts of at most SAMPLE_BYTES, and so is
-the model: FEATURES weights for each machine. Scoring reads the whole texts of all rows.
+Training reads at most SAMPLE rows, shared out evenly over the languages that have so many and in an order of hashes of
+doc_id, as whole texts of any length. N-grams are counted where the rows are; the model keeps the FEATURES buckets
+whose shares of documents differ most between languages, and all others as one more feature. The driver gets one vector
+of FEATURES numbers for each sampled row. Scoring reads the whole texts of all rows, in blocks of places; scores are
+rounded, so that the other texts of a batch don't decide their last digits.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter, and for all rows if nothing could be
 learned. With one language learned it is predicted everywhere. doc_id null: predicted, never trained on.
@@ -15,10 +18,12 @@ learned. With one language learned it is predicted everywhere. doc_id null: pred
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import chargrams as G
@@ -28,7 +33,8 @@ NS = (2, 3, 4)
 BITS = 16
 FEATURES = 4096
 SAMPLE = 3_000
-SAMPLE_BYTES = 16_384
+ROWS = 64  # texts whose n-grams are counted at once
+RANGES = 16  # of buckets, in counting
 FAMILIES = {
     **dict.fromkeys(("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fy", "lb"), "germanic"),
     **dict.fromkeys(("fr", "es", "it", "pt", "ca", "ro", "gl", "oc", "la"), "romance"),
@@ -41,36 +47,14 @@ FAMILIES = {
 }
 
 
-def frequencies(column, place: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text the mean over its n-grams of their features' rows of weights (place: bucket to row)."""
-    folded, begin = G.spaced(column)
-    n = len(column)
-    total, count = np.zeros((n, weights.shape[1])), np.zeros(n)
-    ends = begin[1:] + 1  # the space after a text closes its last n-gram
-    for i, k in enumerate(NS):
-        g = G.grams(folded, k, BITS)
-        if not len(g):
-            continue
-        lo = np.minimum(begin[:-1], len(g))
-        hi = np.clip(ends - k + 1, lo, len(g))
-        w = weights[place[g + (i << BITS)]]
-        run = np.zeros((len(g) + 1, weights.shape[1]))
-        np.cumsum(w, axis=0, out=run[1:])
-        total += run[hi] - run[lo]
-        count += hi - lo
-    return total / np.maximum(count, 1)[:, None]
-
-
 def vectors(column, place: np.ndarray, features: int) -> np.ndarray:
-    """The relative frequencies themselves, one row per text (training only)."""
+    """The relative frequencies of the features in each text (a few texts at a time); place: bucket to feature."""
     folded, begin = G.spaced(column)
-    out = np.zeros((len(column), features), np.float32)
+    out = np.zeros(len(column) * features, np.int64)
     for i, k in enumerate(NS):
-        g = place[G.grams(folded, k, BITS) + (i << BITS)]
-        at = np.arange(len(g))
-        doc = G.owners(begin, at)
-        ok = at + k <= begin[np.minimum(doc + 1, len(begin) - 1)] + 1
-        out += np.bincount(doc[ok] * features + g[ok], minlength=len(column) * features).reshape(len(column), features)
+        for doc, g in G.places(folded, begin, k, BITS):
+            out += np.bincount(doc * features + place[g + (i << BITS)], minlength=len(out))
+    out = out.reshape(len(column), features)
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
@@ -102,7 +86,9 @@ class Model:
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(column.cast(pa.string()), r"\p{L}"), False)).astype(bool)
         if not self.languages or not n:
             return ["und"] * n, np.zeros(n)
-        margin = frequencies(column, self.place, self.weights) + self.intercepts if self.weights.shape[1] else np.zeros((n, 0))
+        margin = np.zeros((n, self.weights.shape[1]))
+        for lo in range(0, n if self.weights.shape[1] else 0, ROWS):
+            margin[lo : lo + ROWS] = np.round(vectors(column.slice(lo, ROWS), self.place, len(self.weights)) @ self.weights + self.intercepts, 9)
         f = len(self.families) if len(self.families) > 1 else 0
         family = margin[:, :f].argmax(1) if f else np.zeros(n, np.int64)
         sure = 1 / (1 + np.exp(-2 * margin[np.arange(n), family])) if f else np.ones(n)
@@ -128,27 +114,46 @@ class Model:
         return names.tolist(), scores
 
 
-def train(texts: pa.Array, langs: list[str], families: dict[str, str] = FAMILIES, features: int = FEATURES) -> Model:
-    if not langs:
-        return Model(None, np.zeros((0, 0)), None, [], [], [])
-    langs = np.array(langs, object)
+def _counted(batches):
+    """Of the rows (text, lang) of one task: for each language and range of buckets, how many texts hold each."""
     size = len(NS) << BITS
-    known, code = np.unique(langs, return_inverse=True)
-    shares = np.zeros((len(known), size), np.float32)
-    for lo in range(0, len(texts), 100):
-        d, g = G.present(texts.slice(lo, 100), NS, None, BITS)
-        for c in np.unique(code[lo : lo + 100]):
-            shares[c] += np.bincount(g[code[d + lo] == c], minlength=size)
-    df = shares.sum(0)
-    shares /= np.bincount(code)[:, None]
-    # Features: the buckets whose document shares differ most between languages, then the most frequent.
-    spread = shares.max(0) - shares.min(0)
-    top = np.argsort(-(spread + 1e-3 * df / len(langs)), kind="stable")[: features - 1]
-    place = np.full(size, features - 1, np.int32)  # the last feature holds all other buckets
-    place[top] = np.arange(len(top))
-    x = np.concatenate([vectors(texts.slice(lo, 100), place, features) for lo in range(0, len(texts), 100)])
-    scale = 1 / (np.sqrt((x * x).mean(0)) + 1e-4)
-    x *= scale / np.sqrt(features)
+    each = size // RANGES
+    counts: dict[str, np.ndarray] = {}
+
+    def rows():
+        parts = [(lang, r, c[r * each : (r + 1) * each].tobytes()) for lang, c in sorted(counts.items()) for r in range(RANGES)]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.string()), pa.array([x[1] for x in parts], pa.int32()), pa.array([x[2] for x in parts], pa.binary())], ["lang", "range", "counts"])
+
+    for whole in batches:
+        for b in C.chunks(whole):
+            langs = b.column(1).to_pylist()
+            d, g = G.present(b.column(0), NS, None, BITS)
+            cuts = np.searchsorted(d, np.arange(len(langs) + 1))
+            for i, lang in enumerate(langs):
+                if lang not in counts:
+                    if len(counts) == 32:
+                        yield rows()
+                    counts[lang] = np.zeros(size, np.int32)
+                counts[lang][g[cuts[i] : cuts[i + 1]]] += 1
+    yield rows()
+
+
+def spread(sizes: dict[str, int], counts: dict[str, np.ndarray]) -> np.ndarray:
+    """How far the shares of documents that hold a bucket differ between languages; a little of how many hold it at all."""
+    high, low, every = 0.0, np.inf if len(counts) == len(sizes) else 0.0, 0
+    for lang in sorted(counts):
+        share = counts[lang] / sizes[lang]
+        high, low, every = np.maximum(high, share), np.minimum(low, share), every + counts[lang]
+    return high - low + 1e-3 * every / sum(sizes.values())
+
+
+def solve(x: np.ndarray, langs: np.ndarray, place: np.ndarray, families: dict[str, str] = FAMILIES) -> Model:
+    """The machines for rows of frequencies (which are scaled in place) and their languages."""
+    features = x.shape[1]
+    square = sum((x[lo : lo + 256].astype(np.float64) ** 2).sum(0) for lo in range(0, len(x), 256)) / len(x)
+    scale = (1 / (np.sqrt(square) + 1e-4) / np.sqrt(features)).astype(np.float32)
+    x *= scale
     family_of = np.array([families.get(a, a) for a in langs], object)
     names = sorted(set(family_of))
     columns, intercepts, languages, pairs = [], [], [], []
@@ -167,18 +172,85 @@ def train(texts: pa.Array, langs: list[str], families: dict[str, str] = FAMILIES
                 columns.append(w)
                 intercepts.append(b)
                 pairs.append((k, i, j))
-    weights = (np.stack(columns, 1) * (scale / np.sqrt(features))[:, None]).astype(np.float32) if columns else np.zeros((features, 0), np.float32)
+    weights = np.stack(columns, 1).astype(np.float64) * scale[:, None] if columns else np.zeros((features, 0))
     return Model(place, weights, np.array(intercepts), names, languages, pairs)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Trains on rows of docs(doc_id, text, lang) whose crc32(doc_id) modulo 3 isn't 1."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    keep = (F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & F.col("text").rlike(r"\p{L}")
-    rows = C.bounded_sample(d, keep, sample).select("text", "lang").toArrow().combine_chunks()
-    if not rows.num_rows:
-        return train(pa.array([], pa.string()), [])
-    return train(rows["text"].combine_chunks(), rows["lang"].to_pylist())
+def placed(top: np.ndarray, features: int) -> np.ndarray:
+    """Bucket to feature: the chosen ones by number, the last for all others."""
+    place = np.full(len(NS) << BITS, features - 1, np.int32)
+    place[top] = np.arange(len(top))
+    return place
+
+
+NOTHING = Model(None, np.zeros((0, 0)), None, [], [], [])
+
+
+def train(texts: pa.Array, langs: list[str], families: dict[str, str] = FAMILIES, features: int = FEATURES) -> Model:
+    """From a few texts in memory."""
+    if not langs:
+        return NOTHING
+    counts = defaultdict(lambda: np.zeros(len(NS) << BITS, np.int32))
+    for i, lang in enumerate(langs):
+        counts[lang][G.present(texts.slice(i, 1), NS, None, BITS)[1]] += 1
+    place = placed(np.argsort(-spread(Counter(langs), counts), kind="stable")[: features - 1], features)
+    x = np.concatenate([vectors(texts.slice(lo, ROWS), place, features) for lo in range(0, len(texts), ROWS)]).astype(np.float32)
+    return solve(x, np.array(langs, object), place, families)
+
+
+def train_stored(sample: DataFrame, families: dict[str, str] = FAMILIES, features: int = FEATURES) -> Model:
+    """From rows (key, text, lang) of a stored sample."""
+    sizes = {r.lang: r.n for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return NOTHING
+    each = (len(NS) << BITS) // RANGES
+
+    def choose(key, table):
+        counts: dict[str, np.ndarray] = {}
+        for lang, data in zip(table["lang"].to_pylist(), table["counts"]):
+            counts[lang] = counts.get(lang, 0) + np.frombuffer(data.as_py(), np.int32)
+        s = spread(sizes, counts)
+        top = np.argsort(-s, kind="stable")[: features - 1]
+        return pa.table({"bucket": pa.array(top + key[0].as_py() * each, pa.int64()), "spread": pa.array(s[top])})
+
+    found = sample.select("text", "lang").mapInArrow(_counted, "lang string, range int, counts binary").groupBy("range").applyInArrow(choose, "bucket long, spread double")
+    top = np.array([r.bucket for r in found.orderBy(F.desc("spread"), "bucket").limit(features - 1).collect()], np.int64)
+    place = placed(top, features)
+
+    def rows(batches):
+        for whole in batches:
+            for b in C.chunks(whole):
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    x = vectors(part.column(1), place, features).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "lang", "x"])
+
+    got = sample.select("key", "text", "lang").mapInArrow(rows, "key long, lang string, x binary").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    x = np.frombuffer(b"".join(v.as_py() for v in got["x"]), np.float32).reshape(-1, features).copy()
+    return solve(x, np.array(got["lang"].to_pylist(), object), place, families)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMILIES, features: int = FEATURES) -> Model:
+    """Trains on rows of docs(doc_id, text, lang) whose crc32(doc_id) modulo 3 isn't 1.
+
+    The sample's places are shared out over at most `sample` languages (the most frequent), evenly as far as they have rows.
+    """
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    d = d.filter((F.crc32(F.col("key").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    places, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        places[lang] = min(n, left // (len(counts) - i))
+        left -= places[lang]
+    # Rows beyond a hash bound that leaves twice as many are dropped where they are read.
+    bounds = [(lang, n, min(1 << 32, int((2 * n + 50) / counts[lang] * (1 << 32)))) for lang, n in places.items()]
+    quota = spark.createDataFrame(bounds, "lang string, places int, bound long")
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << 32))
+    near = d.join(quota, "lang").withColumn("h", h).filter("h < bound")
+    order = Window.partitionBy("lang").orderBy("h", "key", F.xxhash64("text"))
+    chosen = near.withColumn("r", F.row_number().over(order)).filter("r <= places").select("key", "text", "lang")
+    return train_stored(C.written(chosen, "languages"), families, features)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -186,7 +258,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in C.chunks(whole, 1 << 20):
+            for b in C.chunks(whole):
                 names, scores = model.predict(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 

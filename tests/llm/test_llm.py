@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.llm import ann, bpe, common, language_id, license_scan, minhash, mixing, queries, substring_dedup, topk, toxicity, url_filter
+from heliograph.llm import ann, bpe, chargrams, common, language_id, license_scan, minhash, mixing, queries, substring_dedup, topk, toxicity, url_filter
 from heliograph.llm.license_rules import table
 from tests.compare import same
 
@@ -275,6 +275,70 @@ def test_language_cases(spark, odd_docs):
     assert three.predict(pa.array(["the dog", "und die", "het huis en", "le chat et"]))[0] == ["en", "de", "nl", "fr"]
 
 
+def test_ngrams_in_blocks_against_sets(monkeypatch):
+    """Blocks of places change nothing; n-grams are those of the folded text between spaces."""
+    texts = ["Aé b", None, "", "x" * 40, "one two THREE 42"]
+    want = set()
+    for i, t in enumerate(texts):
+        b = bytes(chargrams.CLASS[x] for x in (t or "").encode())
+        b = b" " + b + b" "
+        for k, n in enumerate((2, 5)):
+            for at in range(len(b) - n + 1):
+                g = chargrams.grams(np.frombuffer(b[at : at + n], np.uint8), n)
+                want.add((i, int(g[0]) + (k << chargrams.BITS)))
+    for block in (3, 1 << 18):
+        monkeypatch.setattr(chargrams, "BLOCK", block)
+        d, f = chargrams.present(pa.array(texts), (2, 5))
+        assert list(zip(d.tolist(), f.tolist())) == sorted(want)
+
+
+def test_toxicity_counts_against_sets(spark):
+    """Evidence and log-count ratios as counted by hand, whole long texts included."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(20)) + (" zorgblatt" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
+    rows.append((30, " ".join(word() for _ in range(30_000)) + " zorgblatt", 1))  # beyond any prefix
+    sample = spark.createDataFrame(rows, "key long, text string, toxic int")
+    model = toxicity.train(sample)
+    sets = [set(chargrams.present(pa.array([t]), toxicity.NS)[1].tolist()) for _, t, _ in rows]
+    toxic, other = Counter(x for s, (_, _, y) in zip(sets, rows) if y for x in s), Counter(x for s, (_, _, y) in zip(sets, rows) if not y for x in s)
+    n1, n0 = sum(y for *_, y in rows), sum(not y for *_, y in rows)
+    every = sorted(set(toxic) | set(other))
+    gain = toxicity._gain(np.array([toxic[x] for x in every], float), np.array([other[x] for x in every], float), n1, n0)
+    best = sorted(zip((-gain).tolist(), every))
+    best = [x for g, x in best[: toxicity.FEATURES] if g < 0]
+    assert set(model.buckets.tolist()) == set(best)
+    p, q = sum(toxic.values()), sum(other.values())
+    size = len(toxicity.NS) << chargrams.BITS
+    ratio = np.array([np.log(((toxic[x] + 1) / (p + size)) / ((other[x] + 1) / (q + size))) for x in sorted(best)])
+    place = {x: i for i, x in enumerate(sorted(best))}
+    w, b = toxicity.solve([np.array(sorted(place[x] for x in s if x in place), np.int32) for s in sets], np.array([y for *_, y in rows]), ratio)
+    assert np.allclose(w, model.weights) and abs(b - model.intercept) < 1e-9
+    scores = model.scores(pa.array([t for _, t, _ in rows]))
+    assert [int(x >= 0.5) for x in scores] == [y for *_, y in rows]
+
+
+def test_rare_languages_have_places_and_batches_decide_nothing(spark):
+    r = random.Random(9)
+    of = {"en": "the and of to", "de": "der die und zu", "nl": "het een van de"}
+    text = lambda lang: " ".join(r.choice(of[lang].split()) + " " + "".join(r.choice("abcde") for _ in range(4)) for _ in range(12))
+    rows = [(i, text("en"), "en", "s") for i in range(400)] + [(1000 + i, text("de"), "de", "s") for i in range(400)] + [(2000 + i, text("nl"), "nl", "s") for i in range(8)]
+    docs = docs_of(spark, rows)
+    model = language_id.fit(docs, sample=60)
+    assert model.languages == [["de", "en", "nl"]]
+    texts = [t for _, t, *_ in rows] + [text("nl") for _ in range(40)]
+    names, scores = model.predict(pa.array(texts))
+    assert np.mean([n == "nl" for n in names[-40:]]) >= 0.9
+    one = [model.predict(pa.array([t])) for t in texts[:20] + texts[-20:]]
+    assert [n[0] for n, _ in one] == names[:20] + names[-20:] and [s[0] for _, s in one] == pytest.approx([*scores[:20], *scores[-20:]], abs=1e-9)
+    # By the definition: shares of n-grams by counting.
+    x = language_id.vectors(pa.array(texts[:3]), model.place, len(model.weights))
+    for t, row in zip(texts[:3], x):
+        b = b" " + bytes(chargrams.CLASS[c] for c in t.encode()) + b" "
+        have = Counter(int(model.place[int(chargrams.grams(np.frombuffer(b[at : at + n], np.uint8), n, language_id.BITS)[0]) + (k << language_id.BITS)]) for k, n in enumerate(language_id.NS) for at in range(len(b) - n + 1))
+        assert {i: v for i, v in enumerate(row.tolist()) if v} == pytest.approx({i: n / sum(have.values()) for i, n in have.items()})
+
+
 # license scan
 
 
