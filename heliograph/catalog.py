@@ -16,6 +16,7 @@ from heliograph.functions import vectors as V
 from heliograph.operators import agent, chunking, citations, dense, fusion, graph, guardrails, judge, metrics, rerank, tenancy
 from heliograph.operators.lexical import LexicalIndex, delete, sparse_search, top_k
 from heliograph.plans import rag
+from heliograph.session import spread
 from heliograph.sources import store
 from heliograph.streaming import streams
 
@@ -45,7 +46,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("documents", "conversations", "embeddings") else table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Dense retrieval: exact cosine in blocks, int8 and binary codes with rescoring, semantic cache probes.
 
-Queries and rows are packed into blocks of a fixed number of vectors, and each query block meets each row block in one
-matrix product. A pair of blocks is a row of an equi-join on the query block's number; single pairs of vectors are
-never rows of a join, and only the k best of a block pair leave it.
+Queries meet blocks of rows in matrix products; single pairs of vectors are never rows of a join, and only the k best of
+each query leave a product.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from heliograph.functions import vectors as V
 from heliograph.operators.lexical import RANK_DECIMALS, top_k
 
 BLOCK = 1024
+SENT_CELLS = 4_000_000
 
 
 def fit_ranges(rows: DataFrame) -> DataFrame:
@@ -45,45 +45,81 @@ def _count(rows: DataFrame) -> int:
     return rows.count()
 
 
-def _matrix(lists: list) -> np.ndarray:
-    return np.array(lists, np.float64).reshape(len(lists), -1)
+def _vectors(ids: pa.Array, vectors: pa.Array, score: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (unit length for cosine; a zero vector stays one) of an Arrow column of lists of one length."""
+    n = len(ids)
+    m = np.asarray(vectors.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    if score == "cosine" and n:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = np.nan_to_num(m / np.sqrt((m * m).sum(1, keepdims=True)))
+    return np.asarray(ids.to_numpy(zero_copy_only=False), np.int64), m
+
+
+def _tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int, score: str, exclude_self: bool, threshold: float | None) -> pa.RecordBatch:
+    """The k best rows of each query in one tile; by rounded score, then id."""
+    s = q @ c.T
+    if score == "hamming":
+        s = 1 - 2 * (q.sum(1)[:, None] + c.sum(1) - 2 * s) / q.shape[1]
+    if score == "cosine":
+        s = np.clip(s, -1, 1)
+    r = np.round(s, RANK_DECIMALS)
+    if exclude_self:
+        r[qi[:, None] == ci] = -np.inf
+    if threshold is not None:
+        r[s < threshold] = -np.inf
+    keep = min(k, len(ci))
+    floor = np.partition(r, len(ci) - keep, axis=1)[:, len(ci) - keep]
+    row, col = np.nonzero((r >= floor[:, None]) & np.isfinite(r))
+    order = np.lexsort((ci[col], -r[row, col], row))
+    row, col = row[order], col[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[top], col[top]
+    return pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ci[col]), pa.array(s[row, col])], ["query_id", "chunk_id", "score"])
+
+
+FOUND = "query_id long, chunk_id long, score double"
 
 
 def block_search(queries: DataFrame, rows: DataFrame, k: int, score: str = "cosine", exclude_self: bool = True, threshold: float | None = None) -> DataFrame:
-    """query_id, chunk_id, rank, score of each query's k best rows; both sides (id, v). score: cosine, dot or hamming (0/1 vectors)."""
-    q, c = _blocks(queries, "q", BLOCK), _blocks(rows, "c", 4 * BLOCK)
-    pairs = c.join(q.select("qblock")).join(q, "qblock")  # each block of rows once per block of queries
-
-    def run(batches):
-        for b in batches:
-            for x in b.to_pylist():
-                qi, ci = np.array(x["qids"]), np.array(x["cids"])
-                a, m = _matrix(x["qv"]), _matrix(x["cv"])
-                if score == "cosine":
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        a = np.nan_to_num(a / np.sqrt((a * a).sum(1, keepdims=True)))
-                        m = np.nan_to_num(m / np.sqrt((m * m).sum(1, keepdims=True)))
-                s = a @ m.T
-                if score == "hamming":
-                    s = 1 - 2 * (a.sum(1)[:, None] + m.sum(1) - 2 * s) / a.shape[1]
-                if score == "cosine":
-                    s = np.clip(s, -1, 1)
-                out = [[], [], []]
-                for i, own in enumerate(qi):
-                    ok = np.flatnonzero((ci != own) if exclude_self else np.ones(len(ci), bool))
-                    if threshold is not None:
-                        ok = ok[s[i, ok] >= threshold]
-                    r = np.round(s[i, ok], RANK_DECIMALS)
-                    best = ok[np.lexsort((ci[ok], -r))[:k]]
-                    out[0] += [int(own)] * len(best)
-                    out[1] += ci[best].tolist()
-                    out[2] += s[i, best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "chunk_id", "score"])
-
-    found = pairs.select("qids", "qv", "cids", "cv").mapInArrow(run, "query_id long, chunk_id long, score double")
+    """query_id, chunk_id, rank, score of each query's k best rows; both sides (id, v). score: cosine, dot or hamming (0/1 vectors).
+
+    Queries of at most SENT_CELLS numbers in all are sent to where the rows are, and nothing but results is shuffled;
+    more are packed into blocks that meet blocks of rows by an equi-join.
+    """
+    size = queries.agg(F.sum(F.size("v")).alias("n")).first()[0] or 0
+    if size <= SENT_CELLS:
+        qi, q = _sent(queries, score)
+
+        def tiles(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    part = b.slice(lo, BLOCK)
+                    ci, c = _vectors(part.column(0), part.column(1), score)
+                    for at in range(0, len(qi), BLOCK):
+                        yield _tile(qi[at : at + BLOCK], q[at : at + BLOCK], ci, c, k, score, exclude_self, threshold)
+
+        found = rows.select(F.col("id").cast("long"), "v").mapInArrow(tiles, FOUND)
+    else:
+        q, c = _blocks(queries, "q", BLOCK), _blocks(rows, "c", 4 * BLOCK)
+        pairs = c.join(q.select("qblock")).join(q, "qblock")  # each block of rows once per block of queries
+
+        def joined(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    x = [b.column(j)[i].values for j in range(4)]
+                    yield _tile(*_vectors(x[0], x[1], score), *_vectors(x[2], x[3], score), k, score, exclude_self, threshold)
+
+        found = pairs.select("qids", "qv", "cids", "cv").mapInArrow(joined, FOUND)
     return top_k(found, k).select("query_id", "chunk_id", "rank", "score")
 
 
+def _sent(queries: DataFrame, score: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = queries.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).toArrow().combine_chunks()
+    if not rows.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    return _vectors(rows["id"].combine_chunks(), rows["v"].combine_chunks(), score)
+
+
 def int8_codes(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows (id, v) with the vectors that their int8 codes stand for (a score against them is bias plus scaled codes)."""
     coded = rows.crossJoin(F.broadcast(ranges.select("low", "step")))  # one row of ranges

@@ -1,7 +1,9 @@
 """Term indexes and lexical retrieval: postings, corpus statistics, BM25, sparse dot products.
 
-Every search takes a DataFrame of queries (query_id, query) and answers all in one plan. Postings are restricted to the
-queries' terms before they are counted, so what is shuffled follows the queries' terms, not the corpus.
+Every search takes a DataFrame of queries (query_id, query) and answers all in one plan. Queries of at most LOCAL_TERMS
+terms in all are sent to where the chunks are (heliograph.operators.local): a task counts its chunks' terms, scores them
+against all queries as products of small matrices, and only k rows a query leave each batch. Beyond that size postings
+are joined with the queries' terms, and what is shuffled follows these.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
+from heliograph.operators import local
+from heliograph.session import spread
 
+LOCAL_TERMS = 200_000
 K1, B = 1.5, 0.75
 RANK_DECIMALS = 9  # scores are ranked after rounding, so that the order of a sum decides nothing
 
@@ -25,15 +30,17 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", *ties: Column | str)
 
 @dataclass
 class LexicalIndex:
-    """tokens(chunk_id, tokens): the analyzed tokens of every chunk, before stemming; analyzer: simple or english."""
+    """tokens(chunk_id, tokens): the analyzed tokens of every chunk, before stemming; analyzer: simple or english; texts(chunk_id, text)."""
 
     tokens: DataFrame
     analyzer: str = "english"
+    texts: DataFrame | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, analyzer: str = "english", text: str = "text") -> LexicalIndex:
-        c = F.coalesce(F.col(text), F.lit(""))
-        return cls(chunks.select("chunk_id", (T.content_tokens(c) if analyzer == "english" else T.tokens(c)).alias("tokens")), analyzer)
+        chunks = spread(chunks.select("chunk_id", F.coalesce(F.col(text), F.lit("")).alias("text")))
+        c = F.col("text")
+        return cls(chunks.select("chunk_id", (T.content_tokens(c) if analyzer == "english" else T.tokens(c)).alias("tokens")), analyzer, chunks.select("chunk_id", c.alias("text")))
 
     def terms(self) -> DataFrame:
         """One row (chunk_id, term) per token."""
@@ -65,8 +72,18 @@ class LexicalIndex:
         q = T.ANALYZERS[self.analyzer](F.col("query"))
         return queries.select("query_id", F.explode(q).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
+    def sent(self, queries: DataFrame):
+        """The queries' terms in memory, where they are few enough to go to every task; else None."""
+        if self.texts is None or self.texts.isStreaming or queries.isStreaming:
+            return None
+        rows = self.analyze(queries).limit(LOCAL_TERMS + 1).toArrow()
+        return rows if rows.num_rows <= LOCAL_TERMS else None
+
     def bm25(self, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, keep: DataFrame | None = None, pool: bool = False) -> DataFrame:
         """query_id, chunk_id, rank, score. keep(chunk_id): a filter, applied before the ranking but after the corpus statistics."""
+        asked = self.sent(queries)
+        if asked is not None:
+            return local.bm25(self.texts, asked, self.analyzer, None if pool else k, k1, b, keep)
         q = self.analyze(queries)
         postings = self.postings(q)
         stats = self.term_stats(postings)
@@ -92,6 +109,9 @@ def heaviest(weights: DataFrame, k: int = 96) -> DataFrame:
 
 def sparse_search(index: LexicalIndex, queries: DataFrame, k: int = 5, keep: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, rank, score: dot products of sparse vectors; positive scores only."""
+    asked = index.sent(queries)
+    if asked is not None:
+        return local.sparse(index.texts, asked, index.analyzer, k, keep)
     q = index.analyze(queries).select("query_id", "term", F.log1p("qtf").alias("qw"))
     docs = sparse_encode(index, q)
     if keep is not None:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -47,6 +47,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "8m")
 
 
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores (a small file is one row group, so one task); larger ones come in enough parts.
+
+    The optimizer's estimate decides, so nothing is read for it; results don't depend on it.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+
+
 def shipped(query):
     """The same query, with the package shipped before it is planned."""
 

@@ -66,7 +66,9 @@ def test_hashing_vectors(spark):
     assert v[1] == pytest.approx([x / n for x in want]) and v[2] == [0.0] * 128
 
 
-def test_dense_search_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_dense_search_in_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(dense, "SENT_CELLS", sent)
     monkeypatch.setattr(dense, "BLOCK", 7)
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(90)] + [(90, [0.0] * 5)]
