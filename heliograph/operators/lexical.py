@@ -1,7 +1,7 @@
 """Term indexes and lexical retrieval: postings, corpus statistics, BM25, sparse dot products.
 
-Every search takes a DataFrame of queries (query_id, query) and answers all in one plan. Queries of at most LOCAL_TERMS
-terms in all are sent to where the chunks are (heliograph.operators.local): a task counts its chunks' terms, scores them
+Every search takes a DataFrame of queries (query_id, query) and answers all in one plan. Queries of at most LOCAL_QUERIES
+rows and LOCAL_CHARS characters in all are sent to where the chunks are (heliograph.operators.local): a task counts its chunks' terms, scores them
 against all queries as products of small matrices, and only k rows a query leave each batch. Beyond that size postings
 are joined with the queries' terms, and what is shuffled follows these.
 """
@@ -17,7 +17,7 @@ from heliograph.functions import text as T
 from heliograph.operators import local
 from heliograph.session import spread
 
-LOCAL_TERMS = 200_000
+LOCAL_QUERIES, LOCAL_CHARS = 20_000, 4_000_000
 K1, B = 1.5, 0.75
 RANK_DECIMALS = 9  # scores are ranked after rounding, so that the order of a sum decides nothing
 
@@ -73,11 +73,13 @@ class LexicalIndex:
         return queries.select("query_id", F.explode(q).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
     def sent(self, queries: DataFrame):
-        """The queries' terms in memory, where they are few enough to go to every task; else None."""
+        """The queries' terms in memory, where they are few enough to go to every task (their size is checked first); else None."""
         if self.texts is None or self.texts.isStreaming or queries.isStreaming:
             return None
-        rows = self.analyze(queries).limit(LOCAL_TERMS + 1).toArrow()
-        return rows if rows.num_rows <= LOCAL_TERMS else None
+        size = queries.agg(F.count("*").alias("n"), F.sum(F.length("query")).alias("c")).first()
+        if size.n > LOCAL_QUERIES or (size.c or 0) > LOCAL_CHARS:
+            return None
+        return local.Asked.of(queries.select("query_id", "query").toArrow(), self.analyzer)
 
     def bm25(self, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, keep: DataFrame | None = None, pool: bool = False) -> DataFrame:
         """query_id, chunk_id, rank, score. keep(chunk_id): a filter, applied before the ranking but after the corpus statistics."""

@@ -65,13 +65,19 @@ class Asked:
     qtf: np.ndarray
 
     @classmethod
-    def of(cls, rows: pa.Table) -> Asked:
+    def of(cls, rows: pa.Table, analyzer: str) -> Asked:
+        """From rows (query_id, query); rows of one query_id count together."""
         rows = rows.combine_chunks()
         coded = (rows["query_id"].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field("query_id").type)).dictionary_encode()
-        terms = sorted(set(rows["term"].to_pylist()))
-        vocabulary = {t: i for i, t in enumerate(terms)}
-        term = np.array([vocabulary[t] for t in rows["term"].to_pylist()], np.int64)
-        return cls(coded.dictionary, vocabulary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), term, rows["qtf"].to_numpy().astype(np.float64))
+        counts: Counter = Counter()
+        for i, text in zip(coded.indices.to_pylist(), rows["query"].to_pylist()):
+            if i is not None:
+                for t, n in counted(text, analyzer).items():
+                    counts[i, t] += n
+        vocabulary = {t: i for i, t in enumerate(sorted({t for _, t in counts}))}
+        keys = sorted((i, vocabulary[t], n) for (i, t), n in counts.items())
+        query, term, qtf = (np.array(x, np.int64) for x in zip(*keys)) if keys else (np.zeros(0, np.int64),) * 3
+        return cls(coded.dictionary, vocabulary, query, term, qtf.astype(np.float64))
 
     def blocks(self, weights: np.ndarray):
         """(first query, matrix of terms by queries) for so many queries at a time."""
@@ -158,8 +164,7 @@ def _search(chunks: DataFrame, asked: Asked, analyzer: str, weights: np.ndarray,
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
 
 
-def bm25(chunks: DataFrame, rows: pa.Table, analyzer: str, k: int | None, k1: float, b: float, keep: DataFrame | None) -> DataFrame:
-    asked = Asked.of(rows)
+def bm25(chunks: DataFrame, asked: Asked, analyzer: str, k: int | None, k1: float, b: float, keep: DataFrame | None) -> DataFrame:
     n, total, df = statistics(chunks, asked, analyzer)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     mean = max(total / n if n else 0.0, 1e-9)
@@ -168,8 +173,7 @@ def bm25(chunks: DataFrame, rows: pa.Table, analyzer: str, k: int | None, k1: fl
     return _search(chunks, asked, analyzer, asked.qtf * idf[asked.term], lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), k)
 
 
-def sparse(chunks: DataFrame, rows: pa.Table, analyzer: str, k: int, keep: DataFrame | None) -> DataFrame:
-    asked = Asked.of(rows)
+def sparse(chunks: DataFrame, asked: Asked, analyzer: str, k: int, keep: DataFrame | None) -> DataFrame:
     if keep is not None:
         chunks = chunks.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     return _search(chunks, asked, analyzer, np.log1p(asked.qtf), lambda tf, dl: np.log1p(tf), k)

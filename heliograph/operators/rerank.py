@@ -20,7 +20,8 @@ def truncate(pool: DataFrame, k: int) -> DataFrame:
 def jaccard(pool: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """By token set overlap of query and text; ties in the pool's order."""
     both = pool.select("query_id", "chunk_id", F.col("rank").alias("was")).join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    score = T.jaccard(F.array_distinct(T.tokens(F.col("query"))), F.array_distinct(T.tokens(F.col("text"))))
+    both = both.select("query_id", "chunk_id", "was", F.array_distinct(T.tokens(F.col("query"))).alias("a"), F.array_distinct(T.tokens(F.col("text"))).alias("b"))
+    score = T.jaccard(F.col("a"), F.col("b"))
     return top_k(both.select("query_id", "chunk_id", "was", score.alias("score")), k, "query_id", "was").select("query_id", "chunk_id", "rank", "score")
 
 
