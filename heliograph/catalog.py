@@ -6,6 +6,7 @@ vector searches take the embeddings whose vec_id is divisible by 50 against all
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
 from heliograph.functions import vectors as V
-from heliograph.operators import agent, chunking, citations, dense, fusion, graph, guardrails, judge, metrics, rerank, tenancy
+from heliograph.operators import agent, approx, cache, chunking, citations, dense, evaluation, fusion, graph, guardrails, hooks, judge, local, metrics, rerank, tenancy
 from heliograph.operators.lexical import LexicalIndex, delete, sparse_search, top_k
 from heliograph.plans import rag
-from heliograph.session import spread
+from heliograph.session import shared_folder, spread
 from heliograph.sources import store
 from heliograph.streaming import streams
 
@@ -172,14 +173,34 @@ def fn8_jaccard_containing(spark, d):
     return found.select("item_id", "doc_id", _r(T.jaccard(F.array_distinct(T.tokens(F.col("b"))), F.array_distinct(T.tokens(F.col("text"))))).alias("jaccard"))
 
 
+FEW_ITEMS = 1_000
+
+
 def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text) that contain a text of items(item_id, b): candidates share the item's five-word runs."""
+    """Rows of docs(doc_id, text) that contain a text of items(item_id, b), found by tokens that must be whole in the document.
+
+    The first and the last token of an item may be parts of longer ones where it stands. Items of seven tokens or more are
+    looked up by five inner tokens in a row, those of three to six by one inner token; items without an inner token are
+    searched for in every text (an error beyond FEW_ITEMS of them).
+    """
+    tokens = items.withColumn("w", T.tokens(F.col("b")))
     runs = lambda c: V.let(c, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(5)))))
-    # The first and the last token may be parts of longer ones where the item stands.
-    mark = items.withColumn("w", T.tokens(F.col("b"))).withColumn("key", F.xxhash64(F.slice("w", F.when(F.size("w") > 6, 2).otherwise(1), F.lit(5)))).drop("w")
+    mark = tokens.filter("size(w) >= 7").withColumn("key", F.xxhash64(F.slice("w", 2, 5))).drop("w")
     places = docs.select("doc_id", F.explode(F.array_distinct(runs(T.tokens(F.col("text"))))).alias("key"))
     hits = places.join(mark, "key").select("doc_id", "item_id", "b")
-    return hits.join(docs, "doc_id").filter(F.contains("text", F.col("b")))
+    middle = tokens.filter("size(w) between 3 and 6").select("item_id", "b", F.get("w", F.lit(1)).alias("t"))
+    if middle.limit(1).count():
+        words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
+        hits = hits.unionByName(words.join(middle, "t").select("doc_id", "item_id", "b"))
+    found = hits.join(docs, "doc_id").filter(F.contains("text", F.col("b")))
+    short = tokens.filter("size(w) < 3").select("item_id", "b").limit(FEW_ITEMS + 1).collect()
+    if len(short) > FEW_ITEMS:
+        raise ValueError("too many items without an inner token")
+    if short:
+        every = F.array(*[F.struct(F.lit(r.item_id).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(r.b).alias("b")) for r in short])
+        held = docs.select("*", F.explode(F.filter(every, lambda x: F.contains(F.col("text"), x["b"]))).alias("x"))
+        found = found.unionByName(held.select("doc_id", "x.item_id", "x.b", "text"))
+    return found
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END AS excerpt FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS t FROM conversations)""")
@@ -322,6 +343,50 @@ def ag28_overlap_at_k(spark, d):
     return metrics.overlap(dense.block_search(q, v, 10), dense.quantized_search(q, v, 10, "int8", keep_full=False), 10)
 
 
+@query(f"WITH {_VECTORS} {_out(_top('cs', 10, 'true'))}")
+def rt5_all_lists(spark, d):
+    """Inverted lists with the dial at its end: exact."""
+    return _ranked(approx.Lists.build(_vectors(spark, d)).search(_vector_queries(spark, d), 10, 1 << 30))
+
+
+@query()
+def rt5_lists_topk(spark, d):
+    """A query looks through the nearest quarter of the lists."""
+    lists = approx.Lists.build(_vectors(spark, d))
+    return _ranked(lists.search(_vector_queries(spark, d), 10, -(-len(lists.centres) // 4)))
+
+
+@query()
+def rt5_lists_filtered(spark, d):
+    lists = approx.Lists.build(_vectors(spark, d))
+    return _ranked(lists.search(_vector_queries(spark, d), 10, -(-len(lists.centres) // 4), F.col("label") < 3))
+
+
+@query()
+def ag28_recall_dial(spark, d):
+    """Recall at 10 of the inverted lists against the exact search, by the share of lists probed."""
+    v, q = _vectors(spark, d), _vector_queries(spark, d)
+    lists, exact = approx.Lists.build(v), dense.block_search(q, v, 10)
+    parts = [approx.recall(lists.search(q, 10, max(1, round(share * len(lists.centres)))), exact, 10).select(F.lit(share).alias("probed"), _r("recall").alias("recall")) for share in (0.1, 0.25, 0.5, 1.0)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _requests(spark, d) -> DataFrame:
+    """Every vector as a request, in order; labels are the partitions, one in 97 is a change of the corpus, one in 31 bypasses."""
+    kind = F.when(F.col("id") % 97 == 96, "change").when(F.col("id") % 31 == 30, "bypass").otherwise("ask")
+    return _vectors(spark, d).select(F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("namespace"), F.col("id").alias("seq"), F.col("label").cast("string").alias("partition"), "v", F.col("id").cast("double").alias("at"), kind.alias("kind"))
+
+
+@query()
+def cch1_replay(spark, d):
+    return cache.replay(_requests(spark, d), 0.3, 64, 120.0).withColumn("similarity", _r("similarity"))
+
+
+@query()
+def ag31_cache_stats(spark, d):
+    return cache.stats(cache.replay(_requests(spark, d), 0.3, 64, 120.0))
+
+
 @query(f"WITH {_VECTORS} {_out(_top('cs', 1, 'score >= 0.3'))}")
 def cch1_similar_queries(spark, d):
     return _ranked(dense.cache_probe(_vector_queries(spark, d), _vectors(spark, d), 0.3))
@@ -434,6 +499,21 @@ def rt10_graph_diffusion(spark, d):
     return _ranked(_graph(spark, d, 5))
 
 
+@query(f"WITH {_GRAPH}, act AS (SELECT query_id, entity, sum(a) AS a FROM (" + " UNION ALL ".join(f"SELECT query_id, entity, mass * pow(0.6, {i}) AS a FROM s{i}" for i in range(4)) + ") GROUP BY ALL) SELECT query_id, entity, round(a / sum(a) OVER (PARTITION BY query_id), 6) AS activation FROM act")
+def rt11_activation(spark, d):
+    c = _chunks(spark, d)
+    asked = graph.simple_mentions(_asked(spark, d).select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
+    _, shares, _ = graph.explain(graph.simple_mentions(c), c.agg(F.count("*").alias("n")), asked)
+    return shares.select("query_id", "entity", _r("activation").alias("activation"))
+
+
+@query()
+def jn7_graph_ranker(spark, d):
+    """Entities of whole texts; queries that name none start from their words."""
+    c = _chunks(spark, d)
+    return _ranked(rag.graph_ranker(c)(_asked(spark, d), 5, None))
+
+
 @query(f"WITH {_GRAPH} SELECT entity, df, round(idf, 6) AS idf FROM es WHERE usable ORDER BY df DESC, entity LIMIT 50")
 def rt12_top_entities(spark, d):
     c = _chunks(spark, d)
@@ -633,13 +713,15 @@ def ag21_groundedness(spark, d):
     return citations.groundedness(a, s).select("answer_id", _r("groundedness").alias("groundedness"))
 
 
-@query()
+@query(f"""WITH {_ATTRIBUTE}, o AS (SELECT answer_id, s, marker, row_number() OVER (PARTITION BY answer_id, s ORDER BY round(score, 9) DESC, marker) AS r FROM best WHERE score >= 0.6),
+k AS (SELECT answer_id, s, string_agg('[' || marker || ']', '' ORDER BY marker) AS marks FROM o WHERE r <= 2 GROUP BY ALL)
+SELECT answer_id, string_agg(trim(regexp_replace(p, '\\s*\\[[0-9]{{1,3}}\\]', '', 'g')) || ' ' || coalesce(marks, '(unverified)'), ' ' ORDER BY s) AS markdown FROM sup LEFT JOIN k USING (answer_id, s) GROUP BY 1""")
 def fn23_cited_markdown(spark, d):
     a, c = _answers(spark, d)
     return citations.markdown(*citations.attribute(a, c))
 
 
-@query(f"""WITH {_lexical_sql()}, ctx AS MATERIALIZED (SELECT query_id, rank, text FROM {_top('bm', 3)} JOIN documents ON doc_id = chunk_id),
+_EXTRACT = f"""{_lexical_sql()}, ctx AS MATERIALIZED (SELECT query_id, rank, chunk_id, text FROM {_top('bm', 3)} JOIN documents ON doc_id = chunk_id),
 {_sentences_sql('sn', 'ctx', 'query_id, rank', 'text')},
 ns AS (SELECT query_id, count(*) AS n FROM sn GROUP BY 1),
 qd AS (SELECT DISTINCT query_id, term FROM q),
@@ -649,8 +731,11 @@ dfs AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY ALL),
 w AS (SELECT query_id, term, ln(1 + n / (1 + coalesce(df, 0))) AS idf FROM qd JOIN ns USING (query_id) LEFT JOIN dfs USING (query_id, term)),
 tot AS (SELECT query_id, sum(idf) AS total FROM w GROUP BY 1),
 cov AS (SELECT query_id, rank, s, round(sum(idf) / any_value(total), 9) AS score FROM hit JOIN w USING (query_id, term) JOIN tot USING (query_id) GROUP BY ALL),
-pick AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, s) AS r FROM cov WHERE score > 0)
-SELECT item_id AS query_id, coalesce(answer, '{citations.NO_ANSWER.replace("'", "''")}') AS answer FROM benchmark LEFT JOIN (SELECT query_id, string_agg(p, ' ' ORDER BY rank, s) AS answer FROM pick JOIN sn USING (query_id, rank, s) WHERE r <= 2 GROUP BY 1) ON query_id = item_id""")
+pick AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, s) AS r FROM cov WHERE score > 0),
+ans AS (SELECT item_id AS query_id, coalesce(answer, '{citations.NO_ANSWER.replace("'", "''")}') AS answer FROM benchmark LEFT JOIN (SELECT query_id, string_agg(p, ' ' ORDER BY rank, s) AS answer FROM pick JOIN sn USING (query_id, rank, s) WHERE r <= 2 GROUP BY 1) ON query_id = item_id)"""
+
+
+@query(f"WITH {_EXTRACT} SELECT * FROM ans")
 def gen2_extractive(spark, d):
     c, q = _chunks(spark, d), _asked(spark, d)
     return citations.extractive(q, LexicalIndex.build(c).bm25(q, 3).join(c.select("chunk_id", "text"), "chunk_id"))
@@ -664,8 +749,114 @@ def rt23_answer(spark, d):
     return p.answer(_asked(spark, d))
 
 
+@query(f"""WITH {_EXTRACT}, ids AS (SELECT query_id, to_json(list(chunk_id ORDER BY rank))::VARCHAR AS ids FROM ctx GROUP BY 1),
+t AS (SELECT query_id, answer, regexp_extract_all(answer, '\\S+\\s*') AS l FROM ans)
+SELECT query_id, 0::INT AS n, 'contexts' AS type, coalesce(ids, '[]') AS text FROM t LEFT JOIN ids USING (query_id)
+UNION ALL SELECT query_id, i::INT, 'token', l[i] FROM (SELECT query_id, l, unnest(generate_series(1, len(l))) AS i FROM t)
+UNION ALL SELECT query_id, (len(l) + 1)::INT, 'done', answer FROM t""")
+def rt23_events(spark, d):
+    c = _chunks(spark, d)
+    return rag.Pipeline(c, {"bm25": rag.bm25_ranker(LexicalIndex.build(c))}).events(_asked(spark, d), 3)
+
+
+@query(f"WITH {_lexical_sql()} SELECT item_id AS query_id, coalesce(d.text, '{citations.NO_ANSWER.replace(chr(39), chr(39) * 2)}') AS answer FROM benchmark LEFT JOIN {_top('bm', 1)} b ON b.query_id = item_id LEFT JOIN documents d ON d.doc_id = b.chunk_id")
+def gen1_first_context(spark, d):
+    c, q = _chunks(spark, d), _asked(spark, d)
+    top = LexicalIndex.build(c).bm25(q, 1).join(c.select("chunk_id", "text"), "chunk_id").select("query_id", F.array("text").alias("contexts"))
+    both = q.join(top, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    return both.select("query_id", hooks.generate(F.col("query"), F.col("contexts")).alias("answer"))
+
+
+@query(f"SELECT doc_id AS chunk_id, term, tf::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS r FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL)) WHERE r <= 20")
+def fn15_encoder_hook(spark, d):
+    """A sparse encoder that is any function of texts; here one that counts tokens."""
+
+    def encode(texts: list[str]) -> list[dict[str, float]]:
+        return [{t: float(n) for t, n in local.counted(x, "simple").items()} for x in texts]
+
+    return hooks.sparse_encode(_chunks(spark, d), encode, 20)
+
+
 # evaluation
 
+_LETTERS = "etaoinsrhldcum"
+
+
+def _letters(c: Column) -> Column:
+    """A small embedding that SQL knows too: how often each of some letters is in a text."""
+    return F.transform(F.array(*map(F.lit, _LETTERS)), lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))).cast("double"))
+
+
+def _cases(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each assistant turn as an answer to its conversation's first turn; relevant are the user's turns, the truth is the last turn."""
+    c = _table(spark, d, "conversations")
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    conv = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.max("turn").alias("last"), F.max_by("text", "turn").alias("end"), F.array_sort(F.collect_set(F.when(F.col("role") == "user", key))).alias("relevant"))
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", key.alias("query_id"), F.col("text").alias("answer"))
+    cases = a.join(conv, "conv_id").select("query_id", "query", F.when(F.col("turn") < F.col("last"), F.col("end")).alias("truth"), "relevant")
+    _, contexts = _answers(spark, d)
+    contexts = contexts.select(F.col("answer_id").alias("query_id"), F.col("marker").alias("rank"), F.col("chunk_id").alias("doc_id"), "text")
+    return cases, a.select("query_id", "answer"), contexts
+
+
+def _letters_sql(c: str) -> str:
+    return "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+
+
+def _cosine_sql(a: str, b: str) -> str:
+    x, y = _letters_sql(a), _letters_sql(b)
+    return f"CASE WHEN list_sum({x}) = 0 OR list_sum({y}) = 0 THEN 0 ELSE greatest(-1, least(1, list_cosine_similarity({x}, {y}))) END"
+
+
+_EVALUATED = f"""conv AS (SELECT conv_id, min_by(text, turn) AS query, max(turn) AS last, max_by(text, turn) AS fin FROM conversations GROUP BY 1),
+a AS MATERIALIZED (SELECT conv_id || '/' || turn AS query_id, conv_id, turn, text AS answer, query, CASE WHEN turn < last THEN fin END AS truth, list_distinct({_tok('text')}) AS w FROM conversations JOIN conv USING (conv_id) WHERE role = 'assistant'),
+x AS MATERIALIZED (SELECT query_id, c.role, row_number() OVER (PARTITION BY query_id ORDER BY c.turn, c.role, c.text) AS rank, c.text FROM a JOIN conversations c USING (conv_id) WHERE c.turn <> a.turn),
+v AS (SELECT query_id, list_distinct(flatten(list({_tok('text')}))) AS v FROM x GROUP BY 1),
+rel AS (SELECT query_id, count(DISTINCT c.turn) AS n FROM a JOIN conversations c USING (conv_id) WHERE c.role = 'user' GROUP BY 1),
+hit AS (SELECT query_id, rank, (role = 'user')::INT AS hit, sum((role = 'user')::INT) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM x),
+ctx AS (SELECT query_id, avg(hit) AS p, sum(hit) AS h, count(*) AS len, sum(so_far / rank) FILTER (hit = 1) AS s FROM hit GROUP BY 1),
+m AS (SELECT query_id, CASE WHEN len(w) = 0 THEN 1 ELSE len(list_intersect(w, coalesce(v, []))) / len(w) END AS faithfulness,
+  {_cosine_sql('query', 'answer')} AS answer_relevancy, CASE WHEN truth IS NOT NULL THEN {_cosine_sql('answer', 'truth')} END AS answer_similarity,
+  CASE WHEN n IS NOT NULL THEN coalesce(p, 0) END AS context_precision, CASE WHEN n IS NOT NULL THEN coalesce(h / n, 0) END AS context_recall,
+  CASE WHEN n IS NOT NULL THEN coalesce(s / least(n, len), 0) END AS ranked_context_precision
+  FROM a LEFT JOIN v USING (query_id) LEFT JOIN rel USING (query_id) LEFT JOIN ctx USING (query_id)),
+ev AS MATERIALIZED (SELECT *, CASE WHEN context_precision + context_recall = 0 THEN 0 ELSE 2 * context_precision * context_recall / (context_precision + context_recall) END AS context_f1,
+  list_avg(list_filter([faithfulness, answer_relevancy, context_precision, context_recall, answer_similarity], lambda x: x IS NOT NULL)) AS overall FROM m)"""
+
+
+@query(f"WITH {_EVALUATED} SELECT query_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in evaluation.MEANS) + " FROM ev")
+def ev1_evaluate(spark, d):
+    return evaluation.evaluate(*_cases(spark, d), embed=_letters).select("query_id", *[_r(c).alias(c) for c in evaluation.MEANS])
+
+
+@query(f"WITH {_EVALUATED} SELECT count(*) AS cases, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in evaluation.MEANS) + " FROM ev")
+def ag20_summary(spark, d):
+    return evaluation.summary(evaluation.evaluate(*_cases(spark, d), embed=_letters)).select("cases", *[_r(c).alias(c) for c in evaluation.MEANS])
+
+
+@query()
+def ag19_answer_relevancy(spark, d):
+    """With hashing embeddings."""
+    cases, answers, _ = _cases(spark, d)
+    return evaluation.similarity(cases.join(answers, "query_id"), "query", "answer").select("query_id", _r("similarity").alias("answer_relevancy"))
+
+
+@query("""WITH s AS (SELECT value AS ms, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events)
+SELECT max(ms) FILTER (r = least(floor(n * 0.5) + 1, n)) AS p50, max(ms) FILTER (r = least(floor(n * 0.95) + 1, n)) AS p95, max(ms) FILTER (r = least(floor(n * 0.99) + 1, n)) AS p99 FROM s""")
+def ag29_latencies(spark, d):
+    return evaluation.latencies(_table(spark, d, "events").select(F.col("value").alias("ms")))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS ms FROM events GROUP BY 1")
+def ag32_span_totals(spark, d):
+    return evaluation.spans(_table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms"))).select("name", "n", _r("ms", 4).alias("ms"))
+
+
+@query("SELECT sum((len(embedding) + 7) // 8)::BIGINT AS codes, 4 * sum(len(embedding))::BIGINT AS rescoring_store, 4 * sum(len(embedding))::BIGINT AS float32_baseline FROM embeddings")
+def ag30_code_bytes(spark, d):
+    return evaluation.code_bytes(_vectors(spark, d), "binary")
+
+
 _QRELS = "qrels AS MATERIALIZED (SELECT item_id AS query_id, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
@@ -693,6 +884,25 @@ def ev3_bm25_metrics(spark, d):
     return _metrics(run, _qrels(spark, d))
 
 
+@query(f"WITH {_lexical_sql()}, {_QRELS}, run AS (SELECT query_id, chunk_id AS doc_id FROM {_top('bm', 10)}) SELECT query_id, round(count(run.doc_id) / count(*), 6) AS recall, count(run.doc_id) = count(*) AS complete FROM qrels LEFT JOIN run USING (query_id, doc_id) GROUP BY 1")
+def ag27_gold_recall(spark, d):
+    run = LexicalIndex.build(_chunks(spark, d)).bm25(_asked(spark, d), 10).withColumnRenamed("chunk_id", "doc_id")
+    return evaluation.gold(run, _qrels(spark, d)).select("query_id", _r("recall").alias("recall"), "complete")
+
+
+@query(f"WITH {_lexical_sql()}, f AS (SELECT query_id, source AS doc_id, min(rank) AS first FROM {_top('bm', 20)} JOIN documents ON doc_id = chunk_id GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id)::INT AS rank FROM f")
+def tk14_document_ranking(spark, d):
+    c = _chunks(spark, d)
+    run = LexicalIndex.build(c).bm25(_asked(spark, d), 20).join(c.select("chunk_id", "source"), "chunk_id")
+    return evaluation.document_ranking(run.select("query_id", F.col("source").alias("doc_id"), "rank"))
+
+
+@query(f"WITH {_QRELS} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM qrels JOIN documents USING (doc_id) WHERE source = 'src0')")
+def set4_unseen_questions(spark, d):
+    corpus = _table(spark, d, "documents").filter("source = 'src0'")
+    return evaluation.unseen(_asked(spark, d), _qrels(spark, d), corpus).select("query_id")
+
+
 @query(f"WITH {_VECTORS}, run AS (SELECT query_id, chunk_id AS doc_id, rank FROM {_top('cs', 100, 'true')}), qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, 1 AS rel FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), {_METRICS} SELECT * FROM per")
 def ev3_vector_metrics(spark, d):
     q, v = _vector_queries(spark, d), _vectors(spark, d)
@@ -777,10 +987,7 @@ def agt1_run(spark, d):
         found = i.bm25(q, 5, pool=seen is not None)
         return found if seen is None else top_k(found.join(seen, ["query_id", "chunk_id"], "left_anti"), 5).select("query_id", "chunk_id", "rank", "score")
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-"))
+    shared_folder(spark)
     results, _ = agent.run(_asked(spark, d), retrieve, c, decompose=True)
     return results
 

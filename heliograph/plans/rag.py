@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
-from heliograph.operators import citations, dense, fusion, guardrails, rerank
+from heliograph.operators import citations, dense, fusion, graph, guardrails, hooks, rerank
 from heliograph.operators.lexical import K1, B, LexicalIndex, sparse_search
 
 Ranker = Callable[[DataFrame, int, DataFrame | None], DataFrame]
@@ -35,6 +35,17 @@ def hashing_ranker(chunks: DataFrame, dims: int = 128) -> Ranker:
     return run
 
 
+def graph_ranker(chunks: DataFrame) -> Ranker:
+    """Diffusion over the entity graph; a query that names no usable entity starts from those that hold one of its words."""
+    found = graph.mentions(chunks)
+    n = chunks.agg(F.count("*").alias("n"))
+
+    def run(queries: DataFrame, k: int, keep: DataFrame | None) -> DataFrame:
+        return graph.search(found, n, graph.query_seeds(queries, graph.entity_stats(found, n)), k, keep)
+
+    return run
+
+
 @dataclass
 class Pipeline:
     """chunks(chunk_id, doc_id, text, ...), named rankers and how to combine them.
@@ -49,6 +60,8 @@ class Pipeline:
     router: Callable[[DataFrame], DataFrame] | None = None
     reranker: str | None = None  # jaccard, or none
     action: str | None = None  # of the guardrails: flag, sanitize, drop; or none
+    generate: Callable | None = None  # (questions, lists of contexts) -> answers, by batches; else answers are extractive
+    spotlight: bool = False  # prompts mark their contexts as untrusted data
 
     def search(self, queries: DataFrame, k: int = 5, pool: int = 20, keep: Column | None = None, mode: str = "hybrid") -> DataFrame:
         """query_id, chunk_id, rank, score, provenance. mode: hybrid, or a ranker's name for that one alone."""
@@ -77,8 +90,21 @@ class Pipeline:
     def answer(self, queries: DataFrame, k: int = 5, pool: int = 20, keep: Column | None = None) -> DataFrame:
         """query_id, query, prompt, answer, chunk_ids."""
         contexts = self.retrieve(queries, k, pool, keep)
-        text = citations.extractive(queries, contexts)
         listed = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("c"))
-        both = queries.join(listed, "query_id", "left").join(text, "query_id")
+        both = queries.join(listed, "query_id", "left")
         texts = F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>"))
-        return both.select("query_id", "query", T.prompt(F.col("query"), texts).alias("prompt"), "answer", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"))
+        if self.generate:
+            both = both.withColumn("answer", hooks.generate(F.col("query"), texts, self.generate))
+        else:
+            both = both.join(citations.extractive(queries, contexts), "query_id")
+        prompt = F.concat_ws("\n\n", T.spotlight(texts), F.concat(F.lit("Question: "), F.col("query"))) if self.spotlight else T.prompt(F.col("query"), texts)
+        return both.select("query_id", "query", prompt.alias("prompt"), "answer", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+    def events(self, queries: DataFrame, k: int = 5, pool: int = 20, keep: Column | None = None) -> DataFrame:
+        """query_id, n, type, text: each answer as its client gets it: the contexts (as JSON), its tokens, then done with the whole."""
+        a = self.answer(queries, k, pool, keep)
+        event = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+        contexts = F.to_json(F.coalesce(F.col("chunk_ids"), F.array().cast(a.schema["chunk_ids"].dataType)))
+        tokens = F.transform(F.regexp_extract_all("answer", F.lit(r"\S+\s*"), F.lit(0)), lambda t: event("token", t))
+        every = F.concat(F.array(event("contexts", contexts)), tokens, F.array(event("done", F.col("answer"))))
+        return a.select("query_id", F.posexplode(every).alias("n", "e")).select("query_id", "n", "e.type", "e.text")

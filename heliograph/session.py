@@ -47,6 +47,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "8m")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset on one machine, one of our own."""
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="heliograph-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
 SPREAD_BYTES = 64 << 20
 
 

@@ -31,6 +31,24 @@ def beir(spark: SparkSession, path: str, split: str = "test") -> tuple[DataFrame
     return corpus, queries.join(qrels.select("query_id"), "query_id", "left_semi"), qrels.select("query_id", "doc_id", "rel")
 
 
+def multihop(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, queries, gold) of a Parquet file of multi-hop questions with their paragraphs; one row per distinct title."""
+    rows = spark.read.parquet(path)
+    context = F.explode(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences")))
+    text = F.trim(F.concat(F.col("p.title"), F.lit(". "), F.trim(F.array_join("p.sentences", " "))))
+    corpus = rows.select(context.alias("p")).select(F.col("p.title").alias("doc_id"), text.alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    gold = rows.select(F.col("id").alias("query_id"), F.explode("supporting_facts.title").alias("doc_id")).distinct()
+    return corpus, rows.select(F.col("id").alias("query_id"), F.col("question").alias("query"), "type"), gold
+
+
+def labelled_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """text, label (1: attack) of a Parquet file (text, label), or of a CSV file (prompt, type)."""
+    if path.endswith(".csv"):
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return rows.select(F.col("prompt").alias("text"), (F.col("type") == "jailbreak").cast("int").alias("label"))
+    return spark.read.parquet(path).select("text", F.col("label").cast("int").alias("label"))
+
+
 def report(summary: DataFrame, path: str) -> None:
     """An evaluation summary as JSON."""
     summary.coalesce(1).write.mode("overwrite").json(path)

@@ -40,11 +40,13 @@ class Store:
         if not self.readonly:
             os.close(self._lock)
 
-    def commit(self, tables: dict[str, DataFrame], append: bool = False, config: dict | None = None) -> int:
-        """Writes the tables (in place of, or appended to, those of the same name) and makes them the current version."""
+    def commit(self, tables: dict[str, DataFrame], append: bool = False, config: dict | None = None, drop: tuple[str, ...] = ()) -> int:
+        """Writes the tables (in place of, or appended to, those of the same name) and makes them the current version, without those to drop."""
         if self.readonly:
             raise RuntimeError("the store is open for reading only")
         new = json.loads(json.dumps(self.manifest))
+        for name in drop:
+            new["tables"].pop(name, None)
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(str(self.path / folder))
@@ -71,13 +73,13 @@ class Store:
         d = self.table("deleted").groupBy("doc_id").agg(F.max("_version").alias("_gone"))
         return c.join(d, "doc_id", "left").filter("_gone is null or _version > _gone").drop("_gone", "_version")
 
-    def ingest(self, chunks: DataFrame) -> int:
-        """Appends chunks in place of older ones of the same documents."""
+    def ingest(self, chunks: DataFrame, config: dict | None = None) -> int:
+        """Appends chunks in place of older ones of the same documents, and settings in the same commit."""
         v = self.manifest["version"]
         tables = {"chunks": chunks.withColumn("_version", F.lit(v + 1))}
         if self.has("chunks"):
             tables["deleted"] = chunks.select("doc_id").distinct().withColumn("_version", F.lit(v))
-        return self.commit(tables, append=True)
+        return self.commit(tables, append=True, config=config)
 
     def delete(self, doc_ids: DataFrame) -> int:
         """Marks documents as deleted; their number of chunks."""
@@ -86,20 +88,13 @@ class Store:
         return n
 
     def clear(self) -> int:
-        self.manifest["tables"] = {}
-        return self.commit({})
+        return self.commit({}, drop=tuple(self.manifest["tables"]))
 
     def compact(self) -> int:
         """Rewrites the chunks without the deleted ones; the number of rows dropped."""
         before, live = self.table("chunks").count(), self.chunks()
         after = live.count()
-        kept = json.loads(json.dumps(self.manifest))
-        self.manifest["tables"].pop("deleted", None)
-        try:
-            self.commit({"chunks": live.withColumn("_version", F.lit(self.manifest["version"] + 1))})
-        except Exception:
-            self.manifest = kept
-            raise
+        self.commit({"chunks": live.withColumn("_version", F.lit(self.manifest["version"] + 1))}, drop=("deleted",))
         return before - after
 
     def index(self, analyzer: str = "english") -> lexical.LexicalIndex:

@@ -17,8 +17,7 @@ def ingest(documents: DataFrame, store: Store, checkpoint: str, analyzer: str =
         if store.manifest["config"].get("epoch", -1) >= epoch:
             return
         rows = chunk(df) if chunk else df.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("0")).alias("chunk_id"), "doc_id", "text")
-        store.manifest["config"]["epoch"] = epoch
-        store.ingest(rows)
+        store.ingest(rows, {"epoch": epoch})  # one commit: a batch that fails isn't marked as done
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
