@@ -295,4 +295,4 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), *vocabulary())
+    return digests(C.documents(spark, sf_dir, "doc_id", "text"), *vocabulary())

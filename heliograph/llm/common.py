@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.session import shared_folder, spread
+
 # The white space that separates words: space and 0x09-0x0D; every other byte belongs to a word.
 SPACE_WORD = np.ones(256, bool)
 SPACE_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -151,26 +152,20 @@ def trim() -> None:
         _trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not place:
-        place = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="heliograph-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(place)
-    return place
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the table documents."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, to end the lineage; it outlives a lost executor."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder, for wide rows that are read more than once."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

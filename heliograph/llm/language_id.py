@@ -266,6 +266,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = C.documents(spark, sf_dir, "doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return predict(docs, fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -101,4 +101,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("detections")
+    return scan(C.documents(spark, sf_dir, "doc_id", "text")).drop("detections")

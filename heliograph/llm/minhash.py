@@ -36,7 +36,7 @@ DROP = 12.5
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SKETCH = "doc_id long, th long, n_shingles long, set_a long, set_b long, registers binary"
 
 
 def shingles(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ def _sketches(width: int):
                     sums[1, full] = np.add.reduceat(C.mix(h ^ np.uint64(0x5851F42D4C957F2D)), bounds[full])
                 k = registers(h, bounds)
                 data = pa.array([x.tobytes() if n else None for x, n in zip(k, sizes)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), data], ["doc_id", "n_shingles", "set_a", "set_b", "registers"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), data], ["doc_id", "th", "n_shingles", "set_a", "set_b", "registers"])
 
     return run
 
@@ -123,8 +123,8 @@ def _sets(width: int):
 
 
 def sketch(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Set size, a 128-bit digest of the set, and the registers of every row of docs(doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketches(width), SKETCH)
+    """A hash of the text, the set's size and a 128-bit digest of it, and the registers, of every row of docs(doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(_sketches(width), SKETCH)
 
 
 def likelihood(larger, smaller, equal, nu, nv, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, per_cent: i
 
 
 def classes_of(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its class), links.
+    """Per row of docs(doc_id, text): doc_id, th (a hash of the text), n_shingles, component_id (the smallest doc_id of its class), links.
 
     Texts are linked if their shingle sets' intersection is at least so many per cent of their union; links counts
     the verified links of the row's own set that were needed to join the class (copies of equal sets not counted).
@@ -228,21 +228,33 @@ def classes_of(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     label = label.select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = all_.drop("registers").join(label, ["set_a", "set_b"], "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(0)).otherwise(F.col("links")).cast("long").alias("links"))
+    return out.select("doc_id", "th", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(0)).otherwise(F.col("links")).cast("long").alias("links"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows and columns of docs without those near-duplicates that aren't the smallest doc_id of their class.
+    """The rows and columns of docs with one row of each class of near-duplicates: of the smallest doc_id, of its rows the first by text hash.
 
-    Rows with a null doc_id stay.
+    Rows are judged by their own texts. Rows with a null doc_id stay, and so do texts without words.
     """
-    gone = classes_of(docs, width, per_cent).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    names = docs.columns
+    judged = C.written(classes_of(docs, width, per_cent).select("doc_id", "th", "n_shingles", "component_id"), "judged")
+    gone = judged.filter("doc_id <> component_id").select("doc_id", "th").distinct()
+    # The smallest doc_id of a class may have several rows: only its first text stays, and of equal rows one.
+    own = judged.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    first = own.groupBy("doc_id").agg(F.min("th").alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    again = C.cut(own.join(first, "doc_id").select("doc_id", "th", (F.col("th") == F.col("first")).alias("stays")))
+    gone = gone.union(again.filter("not stays").select("doc_id", "th")).withColumnsRenamed({"doc_id": "_gone_id", "th": "_gone_th"})
+    whole = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_th"))
+    left = whole.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left_anti")
+    twice = again.filter("stays").select(F.col("doc_id").alias("_twice_id"), F.col("th").alias("_twice_th"))
+    if twice.limit(1).count():
+        on = (F.col("_id") == F.col("_twice_id")) & (F.col("_th") == F.col("_twice_th"))
+        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates(["_id", "_th"]))
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes_of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 85)
+    found = classes_of(C.documents(spark, sf_dir, "doc_id", "text"), 3, 85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

@@ -297,7 +297,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("spans")
+    return spans(C.documents(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
 ORACLE = r"""

@@ -131,6 +131,15 @@ def test_near_duplicates(spark, odd_docs, width, per_cent):
     assert minhash.classes_of(odd_docs.filter("false"), width, per_cent).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Rows that share a doc_id are judged by their own texts; repeated rows of the smallest doc_id leave one."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "en", "s"), (1, a, "en", "t"), (1, a + " end", "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (3, b + " x", "en", "s"), (4, None, "en", "s"), (4, "", "en", "s"), (4, None, "en", "s"), (5, b, "en", "s"), (6, "one", "en", "s"), (None, a, "en", "s")]
+    kept = minhash.keep_one(docs_of(spark, rows), 5, 80).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([1, 2, 4, 4, 4, 6, None])
+    assert [r.text for r in kept if r.doc_id == 2] == [b]
+
+
 def test_chain_that_no_star_covers(spark):
     """Neighbours in a chain are alike, its ends aren't: all are one class."""
     w = [f"w{i}" for i in range(400)]
