@@ -18,6 +18,8 @@ times the size, since a source's target is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from heliograph.llm import common as C
 
 BLOCK = 128
 SHARD_SLOTS = 4096
+RUN = 8192
+TASK_SLOTS = 200_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 PASSES = 2
@@ -75,13 +79,16 @@ def _slots(sources: DataFrame) -> DataFrame:
     s = s.withColumns({"k": F.expr(f"rest div {BLOCK}"), "x": F.col("rest") % BLOCK})
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("k") + (F.col("x") > 0).cast("long")).filter("slots > 0")
     s = C.cut(s)
-    shards = s.select(F.greatest(F.lit(1), F.ceil(F.sum("slots") / SHARD_SLOTS)).alias("shards"))
-    # Runs of slots are numbers first, spread, and only then rows.
-    runs = s.crossJoin(F.broadcast(shards)).select("sid", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div 65536"))).alias("run")).repartition("sid", "run")
-    each = runs.select("sid", "shards", F.explode(F.sequence(F.expr("run * 65536"), F.least(F.expr("run * 65536 + 65535"), F.col("slots") - 1))).alias("j"))
-    counts = each.select("sid", F.pmod(F.xxhash64("sid", "j", F.lit(SEED)), "shards").alias("shard")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
+    total = s.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, math.ceil(total / SHARD_SLOTS))
+    # Runs of slots, and later the shards' counts, are numbers first, spread over a number of tasks that grows with the slots (a
+    # stated number, which adaptive execution leaves alone), and only there become rows.
+    tasks = max(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_SLOTS))
+    runs = s.select("sid", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))).alias("run")).repartition(tasks, "sid", "run")
+    each = runs.select("sid", F.explode(F.sequence(F.expr(f"run * {RUN}"), F.least(F.expr(f"run * {RUN} + {RUN - 1}"), F.col("slots") - 1))).alias("j"))
+    counts = each.select("sid", F.pmod(F.xxhash64("sid", "j", F.lit(SEED)), F.lit(shards)).alias("shard")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
     order = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long")))
+    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long"))).repartition(tasks, "sid", "shard")
     drawn = counts.select("shard", "sid", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j")).join(_small(s.drop("source_size", "aim", "rest", "slots")), "sid")
     drawn = drawn.withColumns({"turn": F.expr("j div blocks"), "i": F.expr("j % blocks")})
     index = F.when(F.col("i") < F.col("full"), _permuted(F.col("i"), F.greatest(F.col("full"), F.lit(1)), F.struct("sid", "turn"))).otherwise(F.col("full"))
@@ -147,7 +154,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, takes = draw(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    rows, takes = draw(C.documents(spark, sf_dir, "doc_id", "text", "source"))
     sums = takes.groupBy("doc_id", "th", "copy").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     sums = sums.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("copy").alias("c"), "taken")
     both = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("copy") == F.col("c")), "left")
