@@ -210,6 +210,9 @@ class Encoder:
         self.learn(missing)
         get = self.cache.__getitem__
         done = [b"".join(map(get, m)) for m, _ in out]
+        for x in missing:
+            if len(x) > BATCHED:  # the cache is bounded in bytes, too
+                del self.cache[x]
         if len(self.cache) > CACHE:
             self.cache.clear()
         return done

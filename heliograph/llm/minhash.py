@@ -7,7 +7,9 @@
 2. Texts of equal sets form a class; only its smallest doc_id goes on, so copies cost nothing further.
 3. Runs of ROWS registers are bands. In each band bucket all members are compared to one centre, the member with the
    most bucket mates over all its bands (of a text and its edited copies that is the text), so a bucket of n costs
-   n - 1 pairs. Pairs that the buckets' components leave unjoined come in a second round, so no link gets lost.
+   n - 1 pairs. Pairs that the buckets' components leave unjoined come in a second round, so no link gets lost: all pairs
+   of a bucket of at most BUCKET members, and for the members of larger ones the pairs that share an element of their
+   prefixes of least frequency, as every linked pair does.
 4. A pair's similarity is estimated by maximum likelihood jointly from the numbers of larger, smaller and equal
    registers and both set sizes. A pair is dropped here only if the threshold is worse by DROP log-likelihood.
 5. All others are verified on the full shingle sets with integer arithmetic. Components of the links are the classes.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import common as C
@@ -33,6 +35,7 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, A, LIMIT = 1.001, 20.0, (1 << 16) - 2
 DROP = 12.5
+BUCKET = 100  # members in several components, beyond which pairs come from rare elements instead
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -186,6 +189,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, per_cent: i
     return common.filter(f"100L * x >= {per_cent}L * (na + nb - x)").select("a", "b").distinct()
 
 
+def _prefixed(nodes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """All pairs (a, b) of nodes(rep, c) in different components that may be linked, by rare elements instead of buckets.
+
+    Sets of n elements that are linked share one of their n - ceil(t n) + 1 elements of least frequency: what many texts
+    have in common stays out of these prefixes, so texts that are alike but not enough don't meet.
+    """
+    held = nodes.join(sets, nodes.rep == sets.doc_id).select("rep", "c", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = held.groupBy("e").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "e")
+    prefix = held.join(often.filter("df > 1"), "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    prefix = prefix.withColumn("r", F.row_number().over(order)).filter(f"r <= n - ceil({per_cent} * n / 100.0D) + 1 and df > 1")
+    prefix = C.cut(prefix.select("e", "rep", "c"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 def classes_of(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, th (a hash of the text), n_shingles, component_id (the smallest doc_id of its class), links.
 
@@ -216,9 +236,15 @@ def classes_of(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame
     placed = shared.join(joined, shared.rep == joined.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
     open_ = C.cut(placed.join(mixed, "bucket"))
-    x, y = open_.alias("x"), open_.alias("y")
+    per = open_.groupBy("bucket").agg(F.count("*").alias("size"))
+    few = open_.join(per.filter(F.col("size") <= BUCKET), "bucket")
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")))
-    rest = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    many = C.cut(open_.join(per.filter(F.col("size") > BUCKET), "bucket").select("rep", "c").distinct())
+    if many.limit(1).count():
+        rest = rest.union(_prefixed(many, sets, per_cent))
+    rest = rest.distinct().join(star, ["a", "b"], "left_anti")
     more = C.cut(_verified(rest, classes, sets, per_cent))
     links = links.union(more)
     if more.limit(1).count():

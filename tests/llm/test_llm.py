@@ -149,6 +149,23 @@ def test_chain_that_no_star_covers(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("bucket", [0, 100])
+def test_links_across_large_buckets(spark, monkeypatch, bucket):
+    """Texts of one template that are alike but not linked, with linked pairs among them: rare elements find these all."""
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(45)]
+        rows.append((3 * i, " ".join(template + own), "en", "s"))
+        if i % 3 == 0:
+            own[r.randrange(45)] = f"edit{i}"
+            rows.append((3 * i + 1, " ".join(template + own), "en", "s"))
+    got = minhash.classes_of(docs_of(spark, rows), 3, 85).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == Counter(classes(rows, 3, 85))
+
+
 def test_sketches_merge_and_estimate():
     a, b = [f"a{i} b c" for i in range(300)], [f"a{i} b c" for i in range(60, 360)]
     col = pa.array([" ".join(a), " ".join(b), " ".join(a + b)])
