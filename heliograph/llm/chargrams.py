@@ -46,13 +46,24 @@ def owners(begin: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(begin, places, "right") - 1
 
 
-def places(folded: np.ndarray, begin: np.ndarray, n: int, bits: int = BITS):
-    """(text, bucket) of all n-grams within texts, in blocks of about BLOCK places, so that long texts cost no more memory."""
+def places(folded: np.ndarray, begin: np.ndarray, n: int, bits: int = BITS, table: np.ndarray | None = None):
+    """(text, bucket, or what table makes of it, if not below 0) of all n-grams within texts, in blocks of about BLOCK places, so that long texts cost no more memory."""
     for lo in range(0, len(folded) - n + 1, BLOCK):
         g = grams(folded[lo : lo + BLOCK + n - 1], n, bits)
-        at = np.arange(lo, lo + len(g))
-        doc = owners(begin, at)
-        inside = at + n <= begin[doc + 1] + 1  # the space after a text may close its last n-gram
+        if table is None:
+            a, b = owners(begin, lo), owners(begin, lo + len(g) - 1)
+            bounds = np.clip(begin[a : b + 2], lo, lo + len(g))
+            if b + 1 == len(begin):  # the space after the last text
+                bounds = np.r_[bounds, lo + len(g)]
+            doc = np.repeat(np.arange(a, b + 1), np.diff(bounds))
+            at = np.arange(lo, lo + len(g))
+        else:
+            g = table[g]
+            at = np.flatnonzero(g >= 0)
+            g = g[at]
+            at += lo
+            doc = owners(begin, at)
+        inside = at + n <= begin[np.minimum(doc + 1, len(begin) - 1)] + 1  # the space after a text may close its last n-gram
         yield doc[inside], g[inside]
 
 
@@ -61,11 +72,25 @@ def present(column, ns: tuple[int, ...], table: np.ndarray | None = None, bits:
     folded, begin = spaced(column)
     found = [np.zeros(0, np.int64)]
     for i, n in enumerate(ns):
-        for doc, g in places(folded, begin, n, bits):
-            g = g.astype(np.int64) + (i << bits)
-            if table is not None:
-                g = table[g]
-                doc, g = doc[g >= 0], g[g >= 0].astype(np.int64)
-            found.append(np.unique((doc << 32) | g))
+        own = None if table is None else table[i << bits : (i + 1) << bits]
+        for doc, g in places(folded, begin, n, bits, own):
+            found.append(np.unique((doc << 32) | (g.astype(np.int64) + ((i << bits) if table is None else 0))))
     key = np.unique(np.concatenate(found))
     return key >> 32, key & 0xFFFFFFFF
+
+
+def distinct(column, ns: tuple[int, ...], bits: int = BITS):
+    """The distinct buckets of each text, text by text."""
+    folded, begin = spaced(column)
+    if len(folded) > 4 * BLOCK:  # one long text, or a few: marks instead of sorting
+        for i in range(len(begin) - 1):
+            part = folded[begin[i] : begin[i + 1] + 1]
+            mark = np.zeros(len(ns) << bits, bool)
+            for k, n in enumerate(ns):
+                for lo in range(0, len(part) - n + 1, BLOCK):
+                    mark[grams(part[lo : lo + BLOCK + n - 1], n, bits) + (k << bits)] = True
+            yield np.flatnonzero(mark)
+        return
+    every = [grams(folded, n, bits) + np.int32(k << bits) for k, n in enumerate(ns)]
+    for i in range(len(begin) - 1):
+        yield np.unique(np.concatenate([g[begin[i] : max(begin[i], begin[i + 1] + 2 - n)] for g, n in zip(every, ns)]))

@@ -127,15 +127,12 @@ def _counted(batches):
 
     for whole in batches:
         for b in C.chunks(whole):
-            langs = b.column(1).to_pylist()
-            d, g = G.present(b.column(0), NS, None, BITS)
-            cuts = np.searchsorted(d, np.arange(len(langs) + 1))
-            for i, lang in enumerate(langs):
+            for lang, g in zip(b.column(1).to_pylist(), G.distinct(b.column(0), NS, BITS)):
                 if lang not in counts:
                     if len(counts) == 32:
                         yield rows()
                     counts[lang] = np.zeros(size, np.int32)
-                counts[lang][g[cuts[i] : cuts[i + 1]]] += 1
+                counts[lang][g] += 1
     yield rows()
 
 
@@ -245,9 +242,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMILI
         left -= places[lang]
     # Rows beyond a hash bound that leaves twice as many are dropped where they are read.
     bounds = [(lang, n, min(1 << 32, int((2 * n + 50) / counts[lang] * (1 << 32)))) for lang, n in places.items()]
-    quota = spark.createDataFrame(bounds, "lang string, places int, bound long")
+    quota = spark.createDataFrame(bounds, "lang string, places int, bound long")  # at most `sample` rows
     h = F.pmod(F.xxhash64("key"), F.lit(1 << 32))
-    near = d.join(quota, "lang").withColumn("h", h).filter("h < bound")
+    near = d.join(F.broadcast(quota), "lang").withColumn("h", h).filter("h < bound")
     order = Window.partitionBy("lang").orderBy("h", "key", F.xxhash64("text"))
     chosen = near.withColumn("r", F.row_number().over(order)).filter("r <= places").select("key", "text", "lang")
     return train_stored(C.written(chosen, "languages"), families, features)

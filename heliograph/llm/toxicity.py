@@ -75,10 +75,8 @@ def _counted(batches):
     counts = np.zeros((2, size), np.int32)
     for whole in batches:
         for b in C.chunks(whole):
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            d, f = G.present(b.column(0), NS)
-            for kind in (0, 1):
-                np.add.at(counts[kind], f[y[d] == kind], np.int32(1))
+            for kind, f in zip(b.column(1).to_pylist(), G.distinct(b.column(0), NS)):
+                counts[kind][f] += 1
     each = size // RANGES
     rows = [(r, counts[:, r * each : (r + 1) * each].tobytes()) for r in range(RANGES) if counts[:, r * each : (r + 1) * each].any()]
     yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "counts"])

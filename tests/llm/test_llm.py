@@ -316,6 +316,10 @@ def test_ngrams_in_blocks_against_sets(monkeypatch):
         monkeypatch.setattr(chargrams, "BLOCK", block)
         d, f = chargrams.present(pa.array(texts), (2, 5))
         assert list(zip(d.tolist(), f.tolist())) == sorted(want)
+        assert [(i, x) for i, u in enumerate(chargrams.distinct(pa.array(texts), (2, 5))) for x in u.tolist()] == sorted(want)
+        table = np.where(np.arange(2 << chargrams.BITS) % 3 == 0, np.arange(2 << chargrams.BITS), -1)
+        d, f = chargrams.present(pa.array(texts), (2, 5), table)
+        assert list(zip(d.tolist(), f.tolist())) == sorted(x for x in want if x[1] % 3 == 0)
 
 
 def test_toxicity_counts_against_sets(spark):
