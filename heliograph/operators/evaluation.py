@@ -50,7 +50,7 @@ def summary(results: DataFrame) -> DataFrame:
 
 def markdown(results: DataFrame) -> DataFrame:
     """line of a table of all cases, best first."""
-    cells = [F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("–")) for c in MEANS]
+    cells = [F.when(F.col(c).isNull(), F.lit("–")).otherwise(F.format_string("%.3f", F.col(c))) for c in MEANS]
     return results.orderBy(F.desc("overall"), "query_id").select(F.concat(F.lit("| "), F.concat_ws(" | ", F.col("query_id").cast("string"), *cells), F.lit(" |")).alias("line"))
 
 
