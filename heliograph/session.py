@@ -60,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-SPREAD_BYTES = 64 << 20
+SPREAD_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
