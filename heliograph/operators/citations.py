@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
+from heliograph.functions import vectors as V
 
 NO_ANSWER = "I don't have enough " + "information to answer that."
 
@@ -16,13 +19,20 @@ def _pieces(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return found.select(*key, "s", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.match").alias("sentence"))
 
 
-def attribute(answers: DataFrame, contexts: DataFrame, threshold: float = 0.6, most: int = 2) -> tuple[DataFrame, DataFrame]:
+def attribute(
+    answers: DataFrame, contexts: DataFrame, threshold: float = 0.6, most: int = 2, embed: Callable[[Column], Column] | None = None, semantic_weight: float = 0.5, entails: Callable[[Column, Column], Column] | None = None, entailment_weight: float = 0.8, candidates: int = 2
+) -> tuple[DataFrame, DataFrame]:
     """(sentences, citations) of answers(answer_id, answer) against contexts(answer_id, marker, chunk_id, text, start_char).
 
     A context's support of a sentence is the largest share of the sentence's content tokens that one of its sentences
     holds. Sentences: answer_id, s, sentence, start, end, support, supported, claimed, invalid. Citations: answer_id, s,
     marker, chunk_id, start_char, end_char, quote, score. Tokens are joined, so only sentences that share one meet.
+
+    embed (text to vector) blends the cosine of the best sentence into its score. entails (premise, hypothesis to a
+    probability) is asked about the `candidates` sentences of each context that share most, even if they share nothing.
     """
+    if not (0 <= threshold <= 1 and 0 <= semantic_weight <= 1 and 0 <= entailment_weight <= 1 and most >= 1 and candidates >= 1):
+        raise ValueError("threshold and weights must be within 0..1, most and candidates at least 1")
     a = _pieces(answers, ["answer_id"], "answer")
     words = lambda c: F.array_distinct(T.content_tokens(c, T.CITATION_STOPWORDS))
     a = a.withColumn("words", words(F.regexp_replace("sentence", r"\[\d{1,3}\]", " "))).withColumn("claimed", F.transform(F.regexp_extract_all("sentence", F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)), lambda x: x.cast("int")))
@@ -32,6 +42,22 @@ def attribute(answers: DataFrame, contexts: DataFrame, threshold: float = 0.6, m
     met = at.join(ct, ["answer_id", "t"]).groupBy("answer_id", "s", "n", "marker", "cs").agg(F.count("*").alias("x"))
     first = Window.partitionBy("answer_id", "s", "marker").orderBy(F.desc("x"), "cs")
     best = met.withColumn("r", F.row_number().over(first)).filter("r = 1").select("answer_id", "s", "marker", "cs", (F.col("x") / F.col("n")).alias("score"))
+    if entails is not None or embed is not None:
+        clean = F.trim(F.regexp_replace("sentence", r"\[\d{1,3}\]", " "))
+        said = a.filter("size(words) > 0").select("answer_id", "s", clean.alias("clean"), F.size("words").alias("n"))
+        quotes = c.select("answer_id", "marker", "cs", "quote")
+        if entails is not None:  # an answer's sentences with those of its own few contexts
+            met = said.select("answer_id", "s", "n").join(quotes.drop("quote"), "answer_id").join(met.drop("n"), ["answer_id", "s", "marker", "cs"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
+        near = met.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (candidates if entails is not None else 1))
+        near = near.join(said.drop("n"), ["answer_id", "s"]).join(quotes, ["answer_id", "marker", "cs"])
+        share = F.col("x") / F.col("n")
+        if entails is not None:
+            score = (1 - entailment_weight) * share + entailment_weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), entails(F.col("quote"), F.col("clean"))))
+        else:
+            score = (1 - semantic_weight) * share + semantic_weight * F.greatest(F.lit(0.0), V.cosine(embed(F.col("clean")), embed(F.col("quote"))))
+        near = near.select("answer_id", "s", "marker", "cs", "r", score.alias("score"))
+        top = Window.partitionBy("answer_id", "s", "marker").orderBy(F.round("score", 12).desc(), "r")
+        best = near.withColumn("t", F.row_number().over(top)).filter("t = 1").select("answer_id", "s", "marker", "cs", "score")
     support = best.groupBy("answer_id", "s").agg(F.max("score").alias("support"), F.collect_set(F.when(F.col("score") >= threshold, F.col("marker"))).alias("good"))
     out = a.join(support, ["answer_id", "s"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
     invalid = F.array_except("claimed", F.coalesce("good", F.array().cast("array<int>")))

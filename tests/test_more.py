@@ -271,3 +271,18 @@ def test_sentence_chunks_against_words(spark):
         assert set(t.split()) == set(" ".join(parts.get(i, [])).split())
     for c in chunking.chunk(docs, "recursive").collect():
         assert c.text in whole[c.doc_id]
+
+
+def test_attribution_by_models(spark):
+    a = spark.createDataFrame([("q", "The tower is tall [1].")], "answer_id string, answer string")
+    c = spark.createDataFrame([("q", 1, "c1", "The tower is red. It is high.", 0), ("q", 2, "c2", "Rivers flow.", 0)], "answer_id string, marker int, chunk_id string, text string, start_char int")
+    plain, _ = citations.attribute(a, c)
+    assert plain.first().support == 0.5 and not plain.first().supported
+    entails = lambda p, h: hooks.entailment(p, h, lambda ps, hs: [0.9 if "high" in x and y.startswith("The tower is tall") else 0.1 for x, y in zip(ps, hs)])
+    s, cited = citations.attribute(a, c, entails=entails)
+    assert s.first().support == pytest.approx(0.8 * 0.9) and [(r.marker, r.quote) for r in cited.collect()] == [(1, "It is high.")] and s.first().invalid == []
+    embed = lambda t: F.array(F.lit(1.0), F.when(F.contains(t, F.lit("tower")), 1.0).otherwise(0.0))
+    s, cited = citations.attribute(a, c, embed=embed)
+    assert s.first().support == pytest.approx(0.75) and [(r.marker, r.quote) for r in cited.collect()] == [(1, "The tower is red.")]
+    with pytest.raises(ValueError):
+        citations.attribute(a, c, threshold=2.0)
