@@ -41,7 +41,7 @@ def graph_ranker(chunks: DataFrame) -> Ranker:
     n = chunks.agg(F.count("*").alias("n"))
 
     def run(queries: DataFrame, k: int, keep: DataFrame | None) -> DataFrame:
-        return graph.search(found, n, graph.query_seeds(queries, graph.entity_stats(found, n)), k, keep)
+        return graph.search(found, n, lambda stats: graph.query_seeds(queries, stats), k, keep)
 
     return run
 
