@@ -577,9 +577,9 @@ def ctx4_combined_context(spark, d):
 
 @query()
 def ctx3_lead_context(spark, d):
-    docs = _table(spark, d, "documents")
-    c = chunking.chunk(docs, "recursive").join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
-    return c.select("chunk_id", chunking.lead_context(F.col("document"), F.col("text"), F.col("start_char")).alias("context"))
+    docs = _table(spark, d, "documents").withColumn("first", chunking.first_sentence(F.col("text")))
+    c = chunking.chunk(docs, "recursive", carry=("first",))
+    return c.select("chunk_id", chunking.lead_of(F.col("first"), F.col("text"), F.col("start_char")).alias("context"))
 
 
 @query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")

@@ -115,8 +115,11 @@ def markdown_text(text: str, limit: int = 1000) -> list[dict]:
 CHUNKERS: dict[str, Callable[..., list[dict]]] = {"sentence": by_sentences, "recursive": recursive_text, "markdown": markdown_text}
 
 
-def chunk(docs: DataFrame, method: str | Callable[[str], list[dict]] = "recursive", **options) -> DataFrame:
-    """Chunks of docs(doc_id, text) by name (fixed, sentence, recursive, markdown) or by a function of your own."""
+def chunk(docs: DataFrame, method: str | Callable[[str], list[dict]] = "recursive", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Chunks of docs(doc_id, text) by name (fixed, sentence, recursive, markdown) or by a function of your own.
+
+    carry: columns of docs that each chunk gets too (not with fixed).
+    """
     if method == "fixed":
         return fixed(docs, **options)
     split = CHUNKERS[method] if isinstance(method, str) else method
@@ -124,8 +127,8 @@ def chunk(docs: DataFrame, method: str | Callable[[str], list[dict]] = "recursiv
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split(t or "", **options))
 
-    rows = docs.select("doc_id", F.posexplode(F.pandas_udf(run, PIECES)("text")).alias("position", "p"))
-    return rows.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), "doc_id", "position", "p.*")
+    rows = docs.select("doc_id", *carry, F.posexplode(F.pandas_udf(run, PIECES)("text")).alias("position", "p"))
+    return rows.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), "doc_id", "position", "p.*", *carry)
 
 
 def title_context(doc_id: Column, title: Column) -> Column:
@@ -133,12 +136,20 @@ def title_context(doc_id: Column, title: Column) -> Column:
     return F.coalesce(F.when(title != "", title), F.translate(doc_id.cast("string"), "-_", "  "))
 
 
-def lead_context(document: Column, chunk_text: Column, start_char: Column, limit: int = 160) -> Column:
-    """The document's first sentence; empty for a chunk at its start or one that holds it."""
-    first = F.substring(F.get(F.split(F.trim(document), r"(?U)\n|(?<=[!.?])\s+", 2), F.lit(0)), 1, limit)
+def first_sentence(document: Column, limit: int = 160) -> Column:
+    return F.substring(F.get(F.split(F.trim(document), r"(?U)\n|(?<=[!.?])\s+", 2), F.lit(0)), 1, limit)
+
+
+def lead_of(first: Column, chunk_text: Column, start_char: Column) -> Column:
+    """A document's first sentence; empty for a chunk at its start or one that holds it."""
     return F.when((start_char == 0) | chunk_text.contains(first), F.lit("")).otherwise(first)
 
 
+def lead_context(document: Column, chunk_text: Column, start_char: Column, limit: int = 160) -> Column:
+    """The same from the whole document."""
+    return lead_of(first_sentence(document, limit), chunk_text, start_char)
+
+
 def heading_context(document: Column, start_char: Column) -> Column:
     """The path of markdown headings above a chunk, joined by " > "."""
 

@@ -1,11 +1,14 @@
 """Whole results where a table outgrows what one task or message may hold."""
 
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.operators import graph
+from heliograph import catalog
+from heliograph.operators import dense, fusion, graph, lexical, local
 
 
 @pytest.mark.parametrize("cells", [40, 1000])
@@ -31,3 +34,44 @@ def test_graph_in_blocks_of_queries(spark, monkeypatch, cells):
     for q in {q for q, _ in want}:
         order = sorted((-s, c) for (p, c), s in want.items() if p == q and c % 2 and s > 1e-12)[:4]
         assert [best.get((q, i + 1)) for i in range(len(order))] == [c for _, c in order]
+
+
+def test_lead_context_needs_no_join(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "First one here. " + "word and more words. " * 60), (2, None), (3, "short")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.ctx3_lead_context(spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.chunk_id: r.context for r in got.collect()}
+    assert rows["1::0"] == "" and rows["1::1"] == "First one here." and rows["3::0"] == ""
+
+
+def test_containing_texts_are_found_where_they_are(spark, monkeypatch):
+    texts = ["x" * 9 + "æøå lang tekst her" + "y" * 5, "æøå lang tekst her", "", None, "ab", "æøå lang", " tekst her", "abæøå lang tekst heræøå lang tekst her"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = [(10, "æøå lang tekst her"), (11, "ab"), (12, "lang tekst"), (13, None), (14, "lang tekst"), (15, "not there at all")]
+    want = sorted((i, j) for i, t in enumerate(texts) for j, b in items if t is not None and b is not None and b in t)
+    found = catalog._containing(docs, spark.createDataFrame(items, "item_id long, b string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == want
+
+
+def test_hashing_vectors_shuffle_one_row_a_text(spark):
+    rows = spark.createDataFrame([("a", "Red red blue"), ("b", None), ("c", "12 ærlig"), ("a", "blue")], "id string, text string")
+    found = dense.hashing_vectors(rows, 16)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for i, words in {"a": ["red", "red", "blue", "blue"], "b": [], "c": ["12", "rlig"]}.items():
+        v = [0.0] * 16
+        for w in words:
+            v[zlib.crc32(w.encode()) % 16] += 1
+        n = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert found.filter(F.col("id") == i).first().v == [x / n for x in v]
+
+
+def test_routing_counts_once_with_the_search(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, "the tower stood" if i else "zephyr") for i in range(900)], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "zephyr winds"), (2, "tower"), (3, "unknown")], "query_id long, query string")
+    index, calls, plain = lexical.LexicalIndex.build(chunks), [], local.statistics
+    monkeypatch.setattr(local, "statistics", lambda *a: calls.append(1) or plain(*a))
+    index.bm25(q, 3)
+    got = {r.query_id: r.reason for r in fusion.route(q, index).collect()}
+    assert got == {1: f"rare term (idf {math.log(1 + 899.5 / 1.5):.1f})", 2: "balanced", 3: "balanced"} and calls == [1]
