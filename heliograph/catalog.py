@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import text as T
 from heliograph.functions import vectors as V
 from heliograph.operators import agent, approx, cache, chunking, citations, dense, evaluation, fusion, graph, guardrails, hooks, judge, local, metrics, rerank, tenancy
-from heliograph.operators.lexical import LexicalIndex, delete, sparse_search, top_k
+from heliograph.operators.lexical import LOCAL_CHARS, LOCAL_QUERIES, LexicalIndex, delete, sparse_search, top_k
 from heliograph.plans import rag
 from heliograph.session import shared_folder, spread
 from heliograph.sources import store
@@ -177,12 +177,15 @@ FEW_ITEMS = 1_000
 
 
 def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text) that contain a text of items(item_id, b), found by tokens that must be whole in the document.
+    """Rows of docs(doc_id, text) that contain a text of items(item_id, b). Few items are sent to where the texts are.
 
-    The first and the last token of an item may be parts of longer ones where it stands. Items of seven tokens or more are
+    More are found by tokens that must be whole in the document. The first and the last token of an item may be parts of longer ones where it stands. Items of seven tokens or more are
     looked up by five inner tokens in a row, those of three to six by one inner token; items without an inner token are
     searched for in every text (an error beyond FEW_ITEMS of them).
     """
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("b")).alias("c")).first()
+    if size.n <= LOCAL_QUERIES and (size.c or 0) <= LOCAL_CHARS:
+        return local.containing(docs, items.select("item_id", "b").toArrow())
     tokens = items.withColumn("w", T.tokens(F.col("b")))
     runs = lambda c: V.let(c, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(5)))))
     mark = tokens.filter("size(w) >= 7").withColumn("key", F.xxhash64(F.slice("w", 2, 5))).drop("w")
