@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions import text as T
 from heliograph.functions import vectors as V
+from heliograph.operators import local
 from heliograph.operators.lexical import RANK_DECIMALS, top_k
 
 BLOCK = 1024
@@ -29,10 +29,7 @@ def fit_ranges(rows: DataFrame) -> DataFrame:
 
 def hashing_vectors(rows: DataFrame, dims: int = 128) -> DataFrame:
     """id, v of rows(id, text): token counts by crc32 bucket, L2-normalized; a text without tokens is a zero vector."""
-    t = rows.select("id", F.explode_outer(T.tokens(F.coalesce("text", F.lit("")))).alias("t"))
-    counts = t.groupBy("id", V.hash_bucket(F.col("t"), dims).alias("d")).agg(F.count("t").cast("double").alias("n"))
-    filled = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "n")))).alias("m"))
-    return filled.select("id", V.normalized(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))).alias("v"))
+    return local.hashed(rows, dims)
 
 
 def _blocks(rows: DataFrame, prefix: str, size: int) -> DataFrame:
