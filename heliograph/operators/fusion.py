@@ -62,7 +62,10 @@ QUESTION = r"(?i)^\s*(?:what|which|when|where|who|why|how|is|are|can|do|does)\b"
 def route(queries: DataFrame, index: LexicalIndex | None = None, lexical: float = 2.0, semantic: float = 1.5, rare_idf: float = 6.0, long_terms: int = 6) -> DataFrame:
     """query_id, w_bm25, w_vector, reason: the first rule that fits. The rare term rule needs an index."""
     q = queries.select("query_id", "query")
-    if index is not None:
+    asked = index.sent(q) if index is not None and index.analyzer == "english" else None
+    if asked is not None:
+        q = q.join(F.broadcast(index.rarest(asked, q)), "query_id", "left")
+    elif index is not None:
         terms = q.select("query_id", F.explode(T.english(F.col("query"))).alias("term")).distinct()
         stats = index.term_stats(index.postings(terms))
         best = terms.join(stats, "term").groupBy("query_id").agg(F.max("idf").alias("best"))

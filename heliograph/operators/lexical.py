@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ class LexicalIndex:
     tokens: DataFrame
     analyzer: str = "english"
     texts: DataFrame | None = None
+    _counts: tuple | None = None
 
     @classmethod
     def build(cls, chunks: DataFrame, analyzer: str = "english", text: str = "text") -> LexicalIndex:
@@ -81,11 +83,27 @@ class LexicalIndex:
             return None
         return local.Asked.of(queries.select("query_id", "query").toArrow(), self.analyzer)
 
+    def counts(self, asked: local.Asked) -> tuple:
+        """Corpus statistics for these terms, counted once for one set of terms."""
+        terms = frozenset(asked.vocabulary)
+        if self._counts is None or self._counts[0] != terms:
+            self._counts = terms, local.statistics(self.texts, asked, self.analyzer)
+        return self._counts[1]
+
+    def rarest(self, asked: local.Asked, queries: DataFrame) -> DataFrame:
+        """query_id, best: the largest idf of a query's terms that are in the corpus."""
+        n, _, df = self.counts(asked)
+        best = np.full(len(asked.ids), -np.inf)
+        met = df[asked.term] > 0
+        np.maximum.at(best, asked.query[met], np.log(1 + (n - df + 0.5) / (df + 0.5))[asked.term[met]])
+        rows = [(q, float(x)) for q, x in zip(asked.ids.to_pylist(), best) if np.isfinite(x)]
+        return queries.sparkSession.createDataFrame(rows, f"query_id {dict(queries.dtypes)['query_id']}, best double")
+
     def bm25(self, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B, keep: DataFrame | None = None, pool: bool = False) -> DataFrame:
         """query_id, chunk_id, rank, score. keep(chunk_id): a filter, applied before the ranking but after the corpus statistics."""
         asked = self.sent(queries)
         if asked is not None:
-            return local.bm25(self.texts, asked, self.analyzer, None if pool else k, k1, b, keep)
+            return local.bm25(self.texts, asked, self.analyzer, None if pool else k, k1, b, keep, self.counts(asked))
         q = self.analyze(queries)
         postings = self.postings(q)
         stats = self.term_stats(postings)
