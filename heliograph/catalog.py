@@ -17,7 +17,7 @@ from heliograph.functions import vectors as V
 from heliograph.operators import agent, approx, cache, chunking, citations, dense, evaluation, fusion, graph, guardrails, hooks, judge, local, metrics, rerank, tenancy
 from heliograph.operators.lexical import LOCAL_CHARS, LOCAL_QUERIES, LexicalIndex, delete, sparse_search, top_k
 from heliograph.plans import rag
-from heliograph.session import shared_folder, spread
+from heliograph.session import shared_folder, spread, written
 from heliograph.sources import store
 from heliograph.streaming import streams
 
@@ -741,7 +741,7 @@ ans AS (SELECT item_id AS query_id, coalesce(answer, '{citations.NO_ANSWER.repla
 @query(f"WITH {_EXTRACT} SELECT * FROM ans")
 def gen2_extractive(spark, d):
     c, q = _chunks(spark, d), _asked(spark, d)
-    return citations.extractive(q, LexicalIndex.build(c).bm25(q, 3).join(c.select("chunk_id", "text"), "chunk_id"))
+    return citations.extractive(q, written(LexicalIndex.build(c).bm25(q, 3).join(c.select("chunk_id", "text"), "chunk_id")))
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import text as T
 from heliograph.operators import citations, dense, fusion, graph, guardrails, hooks, rerank
 from heliograph.operators.lexical import K1, B, LexicalIndex, sparse_search
+from heliograph.session import written
 
 Ranker = Callable[[DataFrame, int, DataFrame | None], DataFrame]
 
@@ -89,7 +90,7 @@ class Pipeline:
 
     def answer(self, queries: DataFrame, k: int = 5, pool: int = 20, keep: Column | None = None) -> DataFrame:
         """query_id, query, prompt, answer, chunk_ids."""
-        contexts = self.retrieve(queries, k, pool, keep)
+        contexts = written(self.retrieve(queries, k, pool, keep))
         listed = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("c"))
         both = queries.join(listed, "query_id", "left")
         texts = F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>"))

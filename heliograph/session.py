@@ -60,6 +60,14 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table of the size of the queries' results, computed once: plans that use it often would compute it as often."""
+    if df.isStreaming:
+        return df
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 SPREAD_BYTES = 16 << 20
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph import catalog
 from heliograph.operators import dense, fusion, graph, lexical, local
+from heliograph.plans import rag
 
 
 @pytest.mark.parametrize("cells", [40, 1000])
@@ -75,3 +76,12 @@ def test_routing_counts_once_with_the_search(spark, monkeypatch):
     index.bm25(q, 3)
     got = {r.query_id: r.reason for r in fusion.route(q, index).collect()}
     assert got == {1: f"rare term (idf {math.log(1 + 899.5 / 1.5):.1f})", 2: "balanced", 3: "balanced"} and calls == [1]
+
+
+def test_answers_search_once(spark):
+    chunks = spark.createDataFrame([(1, 1, "The tower stood. It fell."), (2, 2, "A bridge.")], "chunk_id long, doc_id long, text string")
+    q = spark.createDataFrame([(1, "tower"), (2, "absent")], "query_id long, query string")
+    p = rag.Pipeline(chunks, {"bm25": rag.bm25_ranker(lexical.LexicalIndex.build(chunks))})
+    got = p.answer(q)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    assert {r.query_id: r.answer for r in got.collect()}[1] == "The tower stood."
