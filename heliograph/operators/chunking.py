@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.functions.batches import piecewise
+
 PIECES = "array<struct<text:string,start_char:int,end_char:int,section:string>>"
 
 
@@ -127,7 +129,7 @@ def chunk(docs: DataFrame, method: str | Callable[[str], list[dict]] = "recursiv
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split(t or "", **options))
 
-    rows = docs.select("doc_id", *carry, F.posexplode(F.pandas_udf(run, PIECES)("text")).alias("position", "p"))
+    rows = docs.select("doc_id", *carry, F.posexplode(piecewise(run, PIECES)("text")).alias("position", "p"))
     return rows.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("position").cast("string")).alias("chunk_id"), "doc_id", "position", "p.*", *carry)
 
 
@@ -164,7 +166,7 @@ def heading_context(document: Column, start_char: Column) -> Column:
 
         return pd.Series([path(t, a) for t, a in zip(d, s)])
 
-    return F.pandas_udf(run, "string")(document, start_char)
+    return piecewise(run, "string")(document, start_char)
 
 
 def combined_context(*contexts: Column) -> Column:

@@ -2,13 +2,15 @@
 
 import math
 import random
+import sys
 import zlib
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from heliograph import catalog
-from heliograph.operators import dense, fusion, graph, lexical, local
+from heliograph.operators import chunking, dense, fusion, graph, lexical, local
 from heliograph.plans import rag
 
 
@@ -85,3 +87,28 @@ def test_answers_search_once(spark):
     got = p.answer(q)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
     assert {r.query_id: r.answer for r in got.collect()}[1] == "The tower stood."
+
+
+class Held(dict):
+    """A chunk that knows how many of its kind its worker holds."""
+
+    live = 0
+
+    def __init__(self, **x):
+        Held.live += 1
+        super().__init__(**x | {"start_char": Held.live})
+
+    def __del__(self):
+        Held.live -= 1
+
+
+def test_chunkers_hold_a_piece_of_a_batch(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text")).coalesce(1)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers have no tests to import
+    try:
+        got = chunking.chunk(docs, lambda t: [Held(text=t, start_char=0, end_char=len(t), section="")])
+        rows = got.select("doc_id", "text", "start_char").collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    assert sorted((r.doc_id, r.text) for r in rows) == [(i, "word " * 200) for i in range(2000)]
+    assert max(r.start_char for r in rows) < 1000  # two pieces at most, where the batch has 2000 texts
