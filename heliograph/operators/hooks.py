@@ -1,4 +1,4 @@
-"""Models as functions: each takes lists and is called with whole batches, through Arrow, where the rows are."""
+"""Models as functions: each takes lists and is called with pieces of Arrow batches, where the rows are."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import text as T
+from heliograph.functions.batches import piecewise
 from heliograph.operators import agent
 from heliograph.operators.citations import NO_ANSWER
 from heliograph.operators.lexical import heaviest
@@ -25,8 +26,8 @@ def _batch(fn, kind: str):
         return pd.Series(list(fn(*[list(c) for c in columns])), dtype=object)
 
     if kind == "double":
-        return F.pandas_udf(lambda *c: run(*c).astype(float), kind)
-    return F.pandas_udf(run, kind)
+        return piecewise(lambda *c: run(*c).astype(float), kind)
+    return piecewise(run, kind)
 
 
 def embed(text: Column, fn: Callable[[list[str]], list[list[float]]]) -> Column:

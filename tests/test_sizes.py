@@ -5,12 +5,14 @@ import random
 import sys
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from heliograph import catalog
-from heliograph.operators import chunking, dense, fusion, graph, lexical, local
+from heliograph.functions import batches
+from heliograph.operators import chunking, dense, fusion, graph, hooks, lexical, local
 from heliograph.plans import rag
 
 
@@ -112,3 +114,10 @@ def test_chunkers_hold_a_piece_of_a_batch(spark):
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     assert sorted((r.doc_id, r.text) for r in rows) == [(i, "word " * 200) for i in range(2000)]
     assert max(r.start_char for r in rows) < 1000  # two pieces at most, where the batch has 2000 texts
+
+
+def test_models_get_a_piece_of_a_batch(spark):
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("word "), 200).alias("text")).coalesce(1)
+    got = hooks.sparse_encode(chunks, lambda texts: [{"chars": float(sum(map(len, texts)))} for _ in texts]).collect()
+    assert sorted(r.chunk_id for r in got) == list(range(2000))
+    assert max(r.weight for r in got) <= batches.PIECE
