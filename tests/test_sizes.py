@@ -121,3 +121,16 @@ def test_models_get_a_piece_of_a_batch(spark):
     got = hooks.sparse_encode(chunks, lambda texts: [{"chars": float(sum(map(len, texts)))} for _ in texts]).collect()
     assert sorted(r.chunk_id for r in got) == list(range(2000))
     assert max(r.weight for r in got) <= batches.PIECE
+
+
+
+def test_lexical_scoring_reads_a_batch_in_pieces(spark, monkeypatch):
+    texts = [f"the tower stood {i % 7} " * (1 + i % 5) if i % 4 else None for i in range(60)]
+    asked = local.Asked.of(pa.table({"query_id": [1, 2], "query": ["tower 3", "standing 5 5"]}), "english")
+    whole = local._postings(pa.array(texts), asked, "english")
+    read = []
+    monkeypatch.setattr(local, "cuts", lambda sizes, most: read.append(batches.cuts(sizes, 300)) or read[-1])
+    for got, want in zip(local._postings(pa.array(texts), asked, "english"), whole):
+        assert got.dtype == want.dtype and got.tolist() == want.tolist()
+    assert len(read[0]) > 5 and [x.stop for x in read[0]][-1] == 60
+    assert [len(x) for x in local._postings(pa.array([], pa.string()), asked, "english")] == [0] * 4
