@@ -123,6 +123,12 @@ def test_models_get_a_piece_of_a_batch(spark):
     assert max(r.weight for r in got) <= batches.PIECE
 
 
+def test_entities_are_found_in_pieces(spark):
+    chunks = spark.createDataFrame([(1, "He met Anna Maria there."), (2, None)], "chunk_id long, text string")
+    m = graph.mentions(chunks)
+    assert ", 204" in m._jdf.queryExecution().optimizedPlan().toString()  # an iterator UDF, which divides what it gets
+    assert "anna maria" in {r.entity for r in m.collect()}
+
 
 def test_lexical_scoring_reads_a_batch_in_pieces(spark, monkeypatch):
     texts = [f"the tower stood {i % 7} " * (1 + i % 5) if i % 4 else None for i in range(60)]
